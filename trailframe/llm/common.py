@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailframe.plans.shipping import shipped
+
 #: Rows in one Arrow batch sent to Python. Texts may be very long, so a batch stays small.
 BATCH_ROWS = 512
 #: Rows up to which a lookup table may be broadcast; beyond it the callers join by shuffle.
@@ -38,7 +40,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded row count, so that very long texts stay within a worker's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(shipped(fn), schema)
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
