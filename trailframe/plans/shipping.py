@@ -11,16 +11,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shipped(fn: Callable) -> Callable:
-    """fn for mapInArrow and its like; workers find the package beside the driver's, or where --py-files put it."""
+    """fn of one argument, for mapInArrow and its like; workers find the package beside the driver's, or where --py-files put it."""
     code, root = cloudpickle.dumps(fn), ROOT
 
-    def call(*args):
+    def call(data):
         import sys
 
         from pyspark import cloudpickle as pickle
 
         if root not in sys.path:
             sys.path.append(root)
-        return pickle.loads(code)(*args)
+        return pickle.loads(code)(data)
 
     return call
