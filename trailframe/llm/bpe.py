@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow
 
 #: Bytes of text gathered before a query runs, pieces in one query, and pieces remembered between a worker's chunks.
-CHUNK_BYTES, QUERY_PIECES, MEMO_PIECES = 8_000_000, 32_000, 400_000
+CHUNK_BYTES, QUERY_PIECES, MEMO_PIECES = 8_000_000, 32_000, 900_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 FIXPOINT = """
@@ -46,7 +46,7 @@ WITH RECURSIVE state(w, p, tok, step) AS (
     SELECT s.w, s.p, coalesce(k.made, s.tok), s.step + 1
     FROM paired s SEMI JOIN least l ON l.w = s.w LEFT JOIN ok k ON k.w = s.w AND k.p = s.p ANTI JOIN ok e ON e.w = s.w AND e.np = s.p)
 ), last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-SELECT w, list(tok ORDER BY p) AS ids, string_agg(tok::VARCHAR, ' ' ORDER BY p) AS shown,
+SELECT w, count(*) AS n, string_agg(tok::VARCHAR, ' ' ORDER BY p) AS shown,
        from_hex(string_agg(hex, '' ORDER BY p)) AS decoded
 FROM state JOIN last USING (w, step) JOIN tokens ON tokens.id = state.tok GROUP BY w
 """
@@ -89,8 +89,8 @@ class RecursiveBpe:
         seed = pa.table({"w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "p": np.arange(len(flat)) - starts, "tok": flat})
         self._load("seed", seed)
         found = self.db.sql(FIXPOINT).to_arrow_table()
-        ids, shown, decoded = (found.column(c).to_pylist() for c in ("ids", "shown", "decoded"))
-        return {pieces[w]: (len(i), s, d) for w, i, s, d in zip(found.column("w").to_pylist(), ids, shown, decoded, strict=True)}
+        columns = (found.column(c).to_pylist() for c in ("w", "n", "shown", "decoded"))
+        return {pieces[w]: (n, shown, decoded) for w, n, shown, decoded in zip(*columns, strict=True)}
 
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """For each text the solved pieces in order."""
