@@ -15,24 +15,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, small_or_shuffled
+
 
 WINDOW, SALTS = 3, 16
+#: Documents with removals up to which these are broadcast (some 100 bytes each), so that texts need no shuffle.
+MOST_BROADCAST = 200_000
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, a, b): where each window begins and its two hashes."""
-    lines = F.split("text", "\n")
+    """(doc_id, at, a, b): where each window begins and its two hashes, made of the hashes of its lines."""
+    line = lambda text: F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), (F.length(F.translate(text, " \t\r", "")) > 0).alias("seen"))
+    some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.transform(F.split("text", "\n"), line).alias("lines"))
     count = F.greatest(F.size("lines") - (WINDOW - 1), F.lit(1))
-    piece = lambda i: F.array_join(F.slice(F.col("lines"), i + 1, WINDOW), "\n")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), piece(i).alias("piece")))
-    found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id"), lines.alias("lines")).select("doc_id", F.explode(cut).alias("w"))
-    seen = F.length(F.translate("w.piece", " \t\r\n", "")) > 0
-    return found.where(seen).select("doc_id", F.col("w.at").alias("at"), F.xxhash64("w.piece").alias("a"), F.xxhash64(F.lit(7), F.col("w.piece")).alias("b"))
+    part = lambda i, c: [F.get(F.col("lines"), i + k)[c] for k in range(WINDOW)]
+    seen = lambda i: F.coalesce(part(i, "seen")[0], F.lit(False)) | F.coalesce(part(i, "seen")[1], F.lit(False)) | F.coalesce(part(i, "seen")[2], F.lit(False))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.xxhash64(*part(i, "a")).alias("a"), F.xxhash64(*part(i, "b")).alias("b"), seen(i).alias("seen")))
+    found = some.select("doc_id", F.explode(cut).alias("w"))
+    return found.where("w.seen").select("doc_id", "w.at", "w.a", "w.b")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the sorted positions of the lines to remove from each document that has any."""
-    found = windows(docs)
+    """(_id, _gone): the sorted positions of the lines to remove from each document that has any."""
+    found = checkpointed(windows(docs))
     first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     later = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["a", "b", "salt"]).where(F.struct("doc_id", "at") != F.col("first"))
@@ -49,7 +54,7 @@ def kept_text(text: Column, gone: Column) -> Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the remaining text, and the numbers of lines and of removed lines in _n_lines and _n_removed."""
-    gone = removals(docs)
+    gone = small_or_shuffled(checkpointed(removals(docs)), MOST_BROADCAST)
     joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
     size = F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n")))
     text = F.when(gone["_gone"].isNull() | docs["text"].isNull(), docs["text"]).otherwise(kept_text(docs["text"], gone["_gone"]))
