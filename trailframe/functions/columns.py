@@ -121,9 +121,9 @@ def file_extension(name: Column) -> Column:
 
 
 def developer_channel(name: Column) -> Column:
-    """Channel id of a developer field: letters, digits and single underscores, not beginning with a digit."""
+    """Channel id of a developer field: letters, digits and single underscores; null if empty or begun by a digit."""
     clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(clean.rlike("^[0-9]"), F.concat(F.lit("dev_"), clean)).otherwise(clean)
+    return F.when((clean != "") & ~clean.rlike("^[0-9]"), clean)
 
 
 def version_text(major: Column, minor: Column, build_major: Column | None = None, build_minor: Column | None = None) -> Column:
