@@ -121,7 +121,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     kept = judged(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
 
 
 WORDS = "'[^\\x20\\x09-\\x0D]+'"
