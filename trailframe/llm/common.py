@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trailframe.plans.checkpoints import checkpoint_folder, checkpointed
 from trailframe.plans.shipping import shipped
 
 #: Rows in one Arrow batch sent to Python. Texts may be very long, so a batch stays small.
 BATCH_ROWS = 512
 #: Rows up to which a lookup table may be broadcast; beyond it the callers join by shuffle.
 BROADCAST_ROWS = 50_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "utf8_size"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +27,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the shared folder; lost executors do not lose it."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files go when the execution that made them ends. For steps that keep each result by a checkpoint."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -23,15 +23,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checkpointed, map_arrow
+from trailframe.plans.shipping import shipped
+
+from .common import checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 40, 8
 T = BANDS * ROWS
-#: Pairs per node up to which the rest of all buckets is checked at once; before that, hubs go on.
-PAIRS_PER_NODE, HUB_ROUNDS = 4, 6
+#: Ids of candidates up to which they are broadcast (8 bytes each) to filter the texts; more are joined by shuffle.
+CANDIDATES_BROADCAST = 500_000
+#: Hub rounds stop when this many pairs per node are left in all buckets, or after HUB_ROUNDS.
+PAIRS_PER_NODE, HUB_ROUNDS = 1, 2
+#: Buckets above this size are finished in blocks of so many nodes, without making pairs.
+SMALL_BUCKET, BLOCK = 24, 256
+#: Agreeing coordinates that a pair at PERCENT has but for a chance below 1e-7 (5.5 standard deviations).
+LEAST_EQUAL = int(T * (PERCENT / 100 - 5.5 * (PERCENT / 100 * (1 - PERCENT / 100) / T) ** 0.5))
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -150,22 +157,68 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             fine = [similar(sets[x], sets[y]) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.bool_())], names=["a", "b", "linked"])
 
-    text = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"text_{k}"))
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    some = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(small_or_shuffled(ids, CANDIDATES_BROADCAST), F.col("_doc") == F.col("_id"), "left_semi")
+    text = lambda k: some.select(F.col("_doc").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     return map_arrow(joined, work, "a long, b long, linked boolean")
 
 
+def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join different roots among the members (key, node, root) of large buckets.
+
+    Buckets that share nodes are one cluster; its nodes are numbered into blocks, and each pair of blocks is a task.
+    """
+    nothing = docs.sparkSession.createDataFrame([], "a long, b long")
+    if not members.limit(1).count():
+        return nothing
+    least = members.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = components(members.join(least, "key").select(F.col("node").alias("a"), "b"))
+    nodes = relabelled(members.select("node", "root").distinct(), clusters, "node", "cluster")
+    placed = numbered(checkpointed(nodes), ["cluster"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    count = placed.groupBy("cluster").agg(F.max("block").alias("last"))
+    some = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    full = checkpointed(placed.join(count, "cluster").join(some, "node").dropDuplicates(["node"]))
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "text")
+
+    def work(table: pa.Table) -> pa.Table:
+        block, node = np.array(table.column("block")), np.array(table.column("node"))
+        one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.lexsort((node, block))
+        sets = shingles([table.column("text")[int(k)].as_py() for k in order])
+        node, root, block = node[order], np.array(table.column("root"))[order], block[order]
+        marks = (sketch(sets) & np.uint64(0xFFFF)).astype(np.uint16)
+        sizes, out = np.array([len(s) for s in sets]), []
+        ends = len(node) if one == two else int((block == one).sum())
+        for k in range(ends):
+            first = k + 1 if one == two else ends
+            near = (marks[first:] == marks[k]).sum(1) >= LEAST_EQUAL
+            near &= (100 * np.minimum(sizes[first:], sizes[k]) >= PERCENT * np.maximum(sizes[first:], sizes[k])) & (root[first:] != root[k])
+            for m in np.flatnonzero(near) + first:
+                if root[m] != root[k] and similar(sets[k], sets[m]):
+                    root[root == root[m]] = root[k]
+                    out.append((min(node[k], node[m]), max(node[k], node[m])))
+        return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
+
+    return checkpointed(dealt.groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable, for the nodes of edges (a, b); alternating large-star and small-star steps."""
+    """(node, root): the least node reachable, for the nodes of edges (a, b); alternating large-star and small-star steps.
+
+    Both steps deal the edges by one end only, and each result is kept before it is used twice. A star per component is
+    the fixed point, which shows as an unchanged checksum of the edges.
+    """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = checkpointed(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = checkpointed(small)
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = checkpointed(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.lit(0))).first()
         if before == tuple(now):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -180,52 +233,55 @@ def relabelled(rows: DataFrame, roots: DataFrame, node: str, out: str) -> DataFr
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    with short_lived_shuffles(docs.sparkSession):
+        return _grouped(docs)
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     sets = checkpointed(sketched(docs))
     alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     copies = checkpointed(alike.select("doc_id", "h1", "h2").join(nodes.where("n > 1"), ["h1", "h2"]).where("doc_id <> node").select("doc_id", "node").distinct())
-    lone = alike.select("doc_id", "bands").join(copies.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    lone = checkpointed(alike.select("doc_id", "bands").join(copies.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
     keyed = lone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    crowd = Window.partitionBy("key")
-    buckets = checkpointed(keyed.withColumn("n", F.count(F.lit(1)).over(crowd)).where("n > 1").select("key", "node"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = checkpointed(keyed.join(crowded, "key"))
     nodes_left = buckets.select("node").distinct().count()
     checked = links = roots = None
-    hub_round = 0
-    while nodes_left:
-        now = buckets.withColumn("root", F.col("node")) if roots is None else relabelled(buckets, roots, "node", "root")
+    for hub_round in range(HUB_ROUNDS + 1):
+        now = buckets.withColumn("root", F.col("node")) if roots is None else checkpointed(relabelled(buckets, roots, "node", "root"))
         size = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(hub_round)), "node"))["node"].alias("hub"))
         head = size.groupBy("key").agg(F.max(F.struct("size", "root", "hub")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        active = checkpointed(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), F.col("top.size").alias("most"), "all"))
-        rest = active.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+        active = checkpointed(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), "all"))
+        rest = active.join(size, "key").agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("size") * F.col("all")))).first()[0] or 0
         if not rest:
             break
-        members = now.join(active, "key")
-        last = rest <= PAIRS_PER_NODE * nodes_left or hub_round >= HUB_ROUNDS
+        last = rest <= PAIRS_PER_NODE * nodes_left or hub_round == HUB_ROUNDS
         if last:
-            others = members.where("root <> top").select("key", F.col("node").alias("x"), F.col("root").alias("xr"))
-            pairs = others.join(now.select("key", F.col("node").alias("y"), F.col("root").alias("yr")), "key").where("xr <> yr")
+            small = now.join(active.where(F.col("all") <= SMALL_BUCKET).select("key", "top"), "key")
+            x, y = small.where("root <> top").select("key", F.col("node").alias("x"), F.col("root").alias("xr")), small.select("key", F.col("node").alias("y"), F.col("root").alias("yr"))
+            pairs = x.join(y, "key").where("xr <> yr")
         else:
-            pairs = members.where("root <> top").select(F.col("node").alias("x"), F.col("hub").alias("y"))
+            pairs = now.join(active, "key").where("root <> top").select(F.col("node").alias("x"), F.col("hub").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = checkpointed(verified(checkpointed(pairs), docs))
-        checked = found if checked is None else checkpointed(checked.unionAll(found))
+        checked = found.select("a", "b") if checked is None else checked.unionAll(found.select("a", "b"))
         fresh = found.where("linked").select("a", "b")
         links = fresh if links is None else links.unionAll(fresh)
+        if last:
+            hot = now.join(active.where(F.col("all") > SMALL_BUCKET).select("key"), "key")
+            links = links.unionAll(block_links(checkpointed(hot), docs))
         roots = components(links)
-        hub_round += 1
         if last:
             break
-    every = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    if links is not None:
-        every = every.unionAll(links)
-    final = components(every)
-    out = relabelled(sets.select("doc_id", "n_shingles"), final, "doc_id", "component_id")
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = relabelled(sets.select("doc_id", "n_shingles"), copies.select(F.col("doc_id").alias("node"), F.col("node").alias("root")), "doc_id", "_node")
+    out = out.withColumn("component_id", F.col("_node")) if roots is None else relabelled(out, roots, "_node", "component_id")
+    return checkpointed(out.select("doc_id", "n_shingles", "component_id")).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns; rows without doc_id stay."""
     gone = grouped(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
