@@ -46,6 +46,14 @@ def test_fit_keeps_sets_events_lengths_and_unknown_fields():
     assert back.info["summary"]["field_99"] == 5.0 and back.info["manufacturer"] == "Garmin" and back.laps[0]["avg_heart_rate"] == 141.0
 
 
+def test_fit_extra_fields_and_arrays():
+    rec = sample()
+    rec.laps[0]["extra"] = {"event": 9.0, "field_90": -3.0, "field_91[0]": 5.0, "field_91[1]": 7.0}
+    rec.laps.append(rec.laps[0] | {"extra": {"field_90": 4.0}})
+    back = fit_format.decode(files.encode_file(rec, "fit"))
+    assert back.laps[0]["extra"] == rec.laps[0]["extra"] and back.laps[1]["extra"] == {"field_90": 4.0}
+
+
 def test_fit_integrity():
     data = bytearray(files.encode_file(sample(), "fit"))
     data[-1] ^= 1
@@ -138,6 +146,9 @@ def test_engine(spark, tmp_path):
     assert {r.code for r in again.diagnostics.collect()} >= {"lossy.sets_dropped", "lossy.events_dropped", "lossy.lengths_dropped", "lossy.laps_dropped", "lossy.summary_dropped"}
     engine.save(a, str(tmp_path / "tables"))
     assert engine.open(str(tmp_path / "tables")).points.count() == 12
+    seen = []
+    batch = engine.load_batch([str(tmp_path / f"a.{f}") for f in ("gpx", "tcx", "csv")], lambda *n: seen.append(n), files_per_job=2)
+    assert seen == [(2, 3), (3, 3)] and batch.points.count() == 9
     large = files.load(spark, str(tmp_path), limit=700, glob="*.gpx")
     assert large.diagnostics.where("code = 'parser.payload_too_large'").count() == 1
 

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,20 +108,45 @@ def resample(a: Activities, step, heart_rate: str = "heart_rate") -> Activities:
 
 
 def _greedy(points: DataFrame, keys, keep) -> DataFrame:
-    """Points of each recording that keep(frame sorted by seq) marks: the choice depends on the last one kept, so it is a fold."""
-
-    def fold(frame):
-        frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
-        return frame[keep(frame)]
+    """Points of each recording that keep(columns as numpy) marks: the choice depends on the last one kept, so it is a fold.
 
-    return points.groupBy(*keys).applyInPandas(shipped(fold), points.schema)
+    Recordings are dealt by their keys and sorted, then streamed through Arrow batches; only one is held at a time.
+    """
+    names, keys = points.columns, list(keys)
+    needed = [c for c in ("time", "latitude", "longitude") if c in names]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            yield from table.filter(pa.array(keep({c: table.column(c).to_numpy() for c in needed}))).to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            other = np.zeros(b.num_rows, bool)
+            for k in keys:
+                c = b.column(names.index(k))
+                other[1:] |= ~np.array(pc.equal(c[1:], c[:-1]).fill_null(False))
+            if held:
+                last = held[-1]
+                other[0] = any(last.column(names.index(k))[-1] != b.column(names.index(k))[0] for k in keys)
+            starts = [0, *np.flatnonzero(other).tolist()] if not other[0] else np.flatnonzero(other).tolist()
+            for i, (lo, hi) in enumerate(zip(starts, [*starts[1:], b.num_rows])):
+                if held and (i or other[0]):
+                    yield from finish(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from finish(held)
+
+    return points.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInArrow(shipped(work), points.schema)
 
 
 def _retained_by_time(us: int):
-    def keep(frame):
-        import numpy as np
-
-        t = frame["time"].to_numpy()
+    def keep(columns):
+        t = columns["time"]
         mark, last = np.zeros(len(t), bool), None
         if len(t) > 1 and (np.diff(t) >= 0).all():
             i = 0
@@ -135,10 +165,8 @@ def _retained_by_time(us: int):
 
 
 def _retained_by_distance(metres: float):
-    def keep(frame):
-        import numpy as np
-
-        lat, lon = np.radians(frame["latitude"].to_numpy()), np.radians(frame["longitude"].to_numpy())
+    def keep(columns):
+        lat, lon = np.radians(columns["latitude"]), np.radians(columns["longitude"])
         mark = np.zeros(len(lat), bool)
         mark[[0, -1]] = True
         i = 0

@@ -60,6 +60,24 @@ class Engine:
         """SRC-27, SRC-28: the files under a path; see sources.files.load."""
         return files.load(self.spark, path, **how)
 
+    def load_batch(self, paths: list[str], on_progress=None, stop_on_error: bool = False, files_per_job: int = 1000, **how) -> Activities:
+        """SRC-28, UDF-4: many paths, so many files a job; on_progress(done, total) is called after each job.
+
+        With stop_on_error the first job with a finding of severity error is the last.
+        """
+        out: Activities | None = None
+        for i in range(0, len(paths), files_per_job):
+            part = self.load(paths[i : i + files_per_job], **how)
+            tables = part.tables()
+            out = part if out is None else out.having(**{t: getattr(out, t).unionByName(df) for t, df in tables.items()})
+            if on_progress is not None:
+                on_progress(min(i + files_per_job, len(paths)), len(paths))
+            if stop_on_error and part.diagnostics.where("severity = 'error'").limit(1).count():
+                break
+        if out is None:
+            raise ValueError("no paths")
+        return out
+
     def from_tuples(self, location: DataFrame, channels: DataFrame, **more) -> Activities:
         """SRC-29: recordings from location and channel tuples."""
         return files.from_tuples(location, channels, **more)

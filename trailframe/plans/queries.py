@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import columns as fn
 from ..functions.manufacturers import MANUFACTURERS, manufacturer_table
@@ -567,6 +568,199 @@ def fn14_semicircles(spark, sf):
     return t.read(spark, sf, "events").select("event_id", fn.semicircles(F.lit(40.0) + F.col("value") / 10000.0).alias("semicircles"))
 
 
+@query("SELECT DISTINCT lower(trim(c)) AS channel FROM (SELECT ' ' || upper(event_type) || ' ' AS c FROM events UNION ALL SELECT event_type FROM events)")
+def fn1_channel_ids(spark, sf):
+    e = t.read(spark, sf, "events")
+    return e.select(F.concat(F.lit(" "), F.upper("event_type"), F.lit(" ")).alias("c")).unionAll(e.select("event_type")).select(fn.channel_id(F.col("c")).alias("channel")).distinct()
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'form_power' WHEN 1 THEN 'x1' WHEN 3 THEN 'a_b' END AS channel FROM orders")
+def fn5_developer_channel(spark, sf):
+    names = F.array(*map(F.lit, (" Form Power! ", "X1", "9lives", "__a--b__")))
+    return t.read(spark, sf, "orders").select("o_orderkey", fn.developer_channel(F.get(names, (F.col("o_orderkey") % 4).cast("int"))).alias("channel"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 9)::VARCHAR || '.' || (o_orderkey % 5)::VARCHAR || CASE WHEN o_orderkey % 2 = 0 THEN '+b' || (o_orderkey % 7)::VARCHAR || '.0' ELSE '' END AS version FROM orders")
+def fn6_version_text(spark, sf):
+    k = F.col("o_orderkey")
+    return t.read(spark, sf, "orders").select("o_orderkey", fn.version_text(k % 9, k % 5, F.when(k % 2 == 0, k % 7), F.lit(0)).alias("version"))
+
+
+@query("SELECT s_suppkey, nullif(trim(CASE WHEN s_suppkey % 3 = 0 THEN '   ' ELSE ' ' || s_name || ' ' END), '') AS name FROM supplier")
+def fn7_blank_to_null(spark, sf):
+    return t.read(spark, sf, "supplier").select("s_suppkey", fn.blank_to_null(F.when(F.col("s_suppkey") % 3 == 0, "   ").otherwise(F.concat(F.lit(" "), "s_name", F.lit(" ")))).alias("name"))
+
+
+@query("SELECT event_id, printf('%.1f', event_id / 8.0 + 0.01) AS text FROM events")
+def fn8_fixed_text(spark, sf):
+    return t.read(spark, sf, "events").select("event_id", fn.fixed_text(F.col("event_id") / 8.0 + 0.01, 1).alias("text"))
+
+
+@query("SELECT o_orderkey, '\"' || replace(replace(o_orderpriority, '-', '\"\"'), ' ', ',') || '\"' AS field FROM orders WHERE o_orderpriority LIKE '%-%'")
+def fn10_csv_field(spark, sf):
+    o = t.read(spark, sf, "orders").where(F.col("o_orderpriority").contains("-"))
+    return o.select("o_orderkey", fn.csv_field(F.translate("o_orderpriority", "- ", '",')).alias("field"))
+
+
+@query(f"WITH {SQL_SAMPLES}, x AS (SELECT *, lag(time) OVER (PARTITION BY activity_id ORDER BY seq) AS t0, lag(value) OVER (PARTITION BY activity_id ORDER BY seq) AS v0 FROM samples) SELECT activity_id, seq, round(v0 + (value - v0) * CASE WHEN time = t0 THEN 0 ELSE ((t0 + 1000000) - t0) / (time - t0) END, 6) AS value FROM x WHERE t0 IS NOT NULL")
+def fn11_lerp(spark, sf):
+    a = a_(spark, sf)
+    s = a.samples.withColumns({"t0": F.lag("time").over(a.by_seq()), "v0": F.lag("value").over(a.by_seq())}).where("t0 IS NOT NULL")
+    return rounded(s.select("activity_id", "seq", fn.lerp(F.col("v0"), F.col("value"), fn.time_factor(F.col("t0"), F.col("time"), F.col("t0") + 1_000_000)).alias("value")))
+
+
+@query("SELECT s_suppkey, to_base64(encode(s_name)) AS packed, s_name AS back FROM supplier")
+def fn13_base64(spark, sf):
+    packed = t.read(spark, sf, "supplier").select("s_suppkey", F.base64(F.encode("s_name", "UTF-8")).alias("packed"))
+    return packed.withColumn("back", F.decode(F.unbase64("packed"), "UTF-8"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def fn16_json_property(spark, sf):
+    return t.read(spark, sf, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT o_orderkey, 'gpx.trk' || CASE WHEN o_orderkey % 2 = 0 THEN '[' || (o_orderkey % 10)::VARCHAR || ']' ELSE '' END || ' (' || o_orderstatus || ')' AS node FROM orders")
+def fn17_node_path(spark, sf):
+    k = F.col("o_orderkey")
+    return t.read(spark, sf, "orders").select("o_orderkey", fn.node_path(F.lit("gpx.trk"), F.when(k % 2 == 0, k % 10), F.col("o_orderstatus")).alias("node"))
+
+
+@query("WITH e AS (SELECT unnest(range(0, " + str(len(fn.EXERCISES)) + ")) AS i, unnest([" + ", ".join(f"'{x}'" for x in fn.EXERCISES) + "]) AS label) SELECT p_partkey, label FROM part LEFT JOIN e ON i = p_partkey % 40")
+def fn20_exercise_label(spark, sf):
+    return t.read(spark, sf, "part").select("p_partkey", fn.exercise_label(F.col("p_partkey") % 40).alias("label"))
+
+
+# --- the remaining rows of the inventory --------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_POINTS} SELECT activity_id, seq, time // 2 AS time FROM points WHERE seq % 3 <> 0")
+def prj4_remap_times(spark, sf):
+    return edit.remap_times(a_(spark, sf), F.when(F.col("seq") % 3 != 0, F.floor(F.col("time") / 2))).points.select("activity_id", "seq", F.col("time").cast("long").alias("time"))
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_SAMPLES}, {SQL_LAPS} SELECT p.activity_id, p.n AS points, s.n AS samples, l.n AS laps FROM (SELECT activity_id, count(*) AS n FROM points GROUP BY 1) p JOIN (SELECT activity_id, count(*) AS n FROM samples GROUP BY 1) s ON s.activity_id = p.activity_id JOIN (SELECT activity_id, count(*) AS n FROM laps GROUP BY 1) l ON l.activity_id = p.activity_id")
+def prj7_json(spark, sf):
+    j = F.try_parse_json("json")
+    size = lambda k: F.size(F.from_json(F.get_json_object("json", f"$.{k}"), "array<string>")).cast("long").alias(k)
+    return edit.to_json(a_(spark, sf)).where(j.isNotNull()).select("activity_id", size("points"), size("samples"), size("laps"))
+
+
+@query(f"WITH {SQL_POINTS}, {_STEP} SELECT activity_id, round(sum(step_m), 3) AS total_distance FROM steps GROUP BY 1")
+def agg7_total_distance(spark, sf):
+    return rounded(windows.compute_cumulative_distance(a_(spark, sf))[1], 3)
+
+
+_DIAG = f"""d AS (SELECT activity_id, CASE WHEN latitude > 90 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN latitude > 90 THEN 'bad_latitude' ELSE 'island' END AS code
+  FROM points WHERE latitude > 90 OR (latitude = 0 AND longitude = 0))"""
+
+
+def _diagnostics(spark, sf):
+    p = t.points(spark, sf, clean=False).where("latitude > 90 OR (latitude = 0 AND longitude = 0)")
+    bad = F.col("latitude") > 90
+    return p.select("activity_id", F.when(bad, "error").otherwise("warning").alias("severity"), F.when(bad, "bad_latitude").otherwise("island").alias("code"))
+
+
+@query(f"WITH {SQL_DIRTY}, {_DIAG} SELECT activity_id, count(*) FILTER (code = 'bad_latitude') AS latitude, count(*) FILTER (code = 'island') AS island FROM d GROUP BY 1")
+def agg8_code_counts(spark, sf):
+    return aggregates.code_counts(_diagnostics(spark, sf), {"latitude": "bad_latitude", "island": "island"})
+
+
+@query(f"WITH {SQL_DIRTY}, {_DIAG} SELECT activity_id, count(*) AS n, string_agg(severity || ': ' || code, '; ' ORDER BY severity, code) AS summary FROM d GROUP BY 1")
+def agg9_diagnostic_summary(spark, sf):
+    return aggregates.diagnostic_summary(_diagnostics(spark, sf))
+
+
+@query(f"WITH {SQL_DIRTY}, {_DIAG} SELECT severity, count(*) AS n FROM d GROUP BY 1")
+def flt11_severity_counts(spark, sf):
+    return edit.by_severity(_diagnostics(spark, sf))
+
+
+@query(f"WITH {SQL_POINTS} SELECT activity_id, seq, round({sql_haversine('latitude', 'longitude', '48.5', '9.25')}, 2) AS metres FROM points")
+def win1_haversine(spark, sf):
+    p = t.points(spark, sf)
+    return p.select("activity_id", "seq", F.round(fn.haversine(F.col("latitude"), F.col("longitude"), F.lit(48.5), F.lit(9.25)), 2).alias("metres"))
+
+
+@query(f"WITH {SQL_LAPS} SELECT activity_id, lap_no, row_number() OVER (PARTITION BY activity_id ORDER BY start_time, lap_no) AS place FROM laps QUALIFY place <= 3")
+def srt2_first_laps(spark, sf):
+    w = Window.partitionBy("activity_id").orderBy("start_time", "lap_no")
+    return t.laps(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("activity_id", "lap_no", "place")
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_LAPS} SELECT activity_id, count(*) AS n_splits FROM laps GROUP BY 1 HAVING count(*) > 0")
+def rsm10_auto_lap(spark, sf):
+    a = a_(spark, sf)  # named laps stay, since they are no placeholders
+    return normalize.auto_lap(a).laps.groupBy("activity_id").agg(F.count(F.lit(1)).alias("n_splits"))
+
+
+@query(f"WITH {SQL_DIRTY}, d AS (SELECT activity_id, time // {DAY_US} * {DAY_US} AS time, max_by(latitude, seq) AS latitude, max_by(longitude, seq) AS longitude FROM points GROUP BY 1, 2) SELECT activity_id, time, round(latitude, 6) AS latitude FROM d WHERE {_OK}")
+def nrm1_normalize_points(spark, sf):
+    a = a_(spark, sf, False)
+    coarse = a.points.withColumn("time", (F.floor(F.col("time") / DAY_US) * DAY_US).cast("long"))
+    return rounded(normalize.normalize(a.having(points=coarse)).points.select("activity_id", "time", "latitude"))
+
+
+@query(f"WITH e AS (SELECT user_id AS activity_id, event_id AS seq, event_type AS prefix, 'urn:' || (event_id % 7)::VARCHAR AS uri FROM events) SELECT activity_id, prefix, min_by(uri, seq) AS uri FROM e GROUP BY 1, 2")
+def set5_namespaces(spark, sf):
+    e = t.read(spark, sf, "events").select(F.col("user_id").alias("activity_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("prefix"), F.concat(F.lit("urn:"), F.col("event_id") % 7).alias("uri"))
+    return sets.namespaces(e)
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_SAMPLES} SELECT p.activity_id, p.seq, max(value) FILTER (channel = 'view') AS view, '{{' || string_agg('\"' || channel || '\"', ',' ORDER BY channel) FILTER (channel <> 'view') || '}}' AS extra FROM points p LEFT JOIN samples s ON s.activity_id = p.activity_id AND s.time = p.time GROUP BY 1, 2")
+def snk11_csv_rows(spark, sf):
+    from ..operators.joins import last_per_time
+
+    a = a_(spark, sf)
+    rows = joins.exact_time(a, ["view"])
+    names = last_per_time(a.samples.where("channel <> 'view'"), a.keys).groupBy("activity_id", "time").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "channel", F.lit('"')))), ","), F.lit("}")).alias("extra"))
+    return rows.join(names, ["activity_id", "time"], "left").select("activity_id", "seq", "view", "extra")
+
+
+@query(f"WITH {SQL_LAPS} SELECT activity_id::VARCHAR AS activity_id, 'info' AS severity, 'lossy.laps_dropped' AS code, count(*)::VARCHAR AS message FROM laps GROUP BY 1")
+def snk17_lossy_report(spark, sf):
+    from .engine import lossy_report
+
+    return lossy_report(a_(spark, sf).having(info=None), "csv")
+
+
+@query()
+def snk2_gpx_texts(spark, sf):
+    """GPX of every activity: its length and the points that it reads back to."""
+    return _written_and_read(spark, sf, "gpx")
+
+
+@query()
+def snk4_tcx_texts(spark, sf):
+    return _written_and_read(spark, sf, "tcx")
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_SAMPLES} SELECT p.activity_id::VARCHAR AS activity_id, p.n AS points, s.n AS samples FROM (SELECT activity_id, count(*) AS n FROM points GROUP BY 1) p JOIN (SELECT activity_id, count(*) AS n FROM samples GROUP BY 1) s ON s.activity_id = p.activity_id")
+def snk11_csv_texts(spark, sf):
+    return _written_and_read(spark, sf, "csv")
+
+
+@query(f"WITH {SQL_POINTS}, {SQL_SAMPLES} SELECT p.activity_id::VARCHAR AS activity_id, p.n AS points, s.n AS samples FROM (SELECT activity_id, count(*) AS n FROM points GROUP BY 1) p JOIN (SELECT activity_id, count(*) AS n FROM samples GROUP BY 1) s ON s.activity_id = p.activity_id")
+def snk14_geojson_texts(spark, sf):
+    return _written_and_read(spark, sf, "geojson-points")
+
+
+@query()
+def snk7_fit_files(spark, sf):
+    return _written_and_read(spark, sf, "fit")
+
+
+def _written_and_read(spark, sf, fmt: str) -> DataFrame:
+    """Numbers of points and samples of every activity after a round trip through a format."""
+    from ..sources import files
+
+    a = a_(spark, sf)
+    a = a.having(**{k: df.withColumn("activity_id", F.col("activity_id").cast("string")) for k, df in a.tables().items()})
+    texts = files.encoded(a, fmt).where("error IS NULL")
+    nested = files.decoded(texts.select("activity_id", "content"), fmt="geojson" if fmt == "geojson-points" else fmt)
+    return nested.select("activity_id", F.size("points").cast("long").alias("points"), F.size("samples").cast("long").alias("samples"))
+
+
 # --- the flagship -------------------------------------------------------------------------------------------------
 
 
