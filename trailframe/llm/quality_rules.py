@@ -29,7 +29,7 @@ RATIOS = {
     "word_length": ("word_chars", "n_words", True, 1.0),
     "symbol_share": ("n_symbols", "n_words", False, 0.1),
     "upper_share": ("n_upper", "word_chars", False, 0.1),
-    "dup_line_share": ("n_dup_lines", "n_lines", False, 0.2),
+    "dup_line_share": ("n_dup_lines", "n_lines", False, 0.4),
     "repeat_share": ("n_repeat_words", "n_words", False, 0.2),
 }
 COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_lines long"
