@@ -10,12 +10,20 @@ from ..functions.columns import haversine
 from ..model import Activities
 
 
-def keep_last(df: DataFrame, keys, *more: str) -> DataFrame:
-    """Of rows with one time the last in list order; seq is numbered anew by time."""
-    last = Window.partitionBy(*keys, *more, "time").orderBy(F.desc("seq"))
-    once = df.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    order = Window.partitionBy(*keys, *more).orderBy("time")
-    return once.withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+def keep_last(df: DataFrame, keys, *more: str, only: Column | None = None) -> DataFrame:
+    """Of rows with one time the last in list order; seq is numbered anew by time. only: a condition per recording.
+
+    Both windows have one partitioning and one order (within a time the last row comes first), so it is one shuffle and
+    one sort.
+    """
+    part = Window.partitionBy(*keys, *more)
+    latest_first = part.orderBy("time", F.desc("seq"))
+    before = df.withColumns({"_t": F.lag("time").over(latest_first), "_r": F.row_number().over(latest_first)})
+    last, place = (F.col("_r") == 1) | ~F.col("_t").eqNullSafe(F.col("time")), (F.row_number().over(part.orderBy("time")) - 1).cast("long")
+    once = before.where(last if only is None else last | ~only).drop("_t", "_r")
+    if only is None:
+        return once.withColumn("seq", place)
+    return once.withColumn("_place", place).withColumn("seq", F.when(only, F.col("_place")).otherwise(F.col("seq"))).drop("_place")
 
 
 def sort_and_dedup(a: Activities) -> Activities:
@@ -27,16 +35,16 @@ def sort_and_dedup(a: Activities) -> Activities:
     return a.having(points=None if a.points is None else keep_last(a.points, a.keys), samples=None if a.samples is None else keep_last(a.samples, a.keys, "channel"), laps=laps)
 
 
-def step_metres(w) -> Column:
-    """Metres from the previous point, null at the first."""
-    before = lambda c: F.lag(c).over(w)
-    return haversine(before("latitude"), before("longitude"), F.col("latitude"), F.col("longitude"))
+def with_step(df: DataFrame, w, out: str = "step_m", neighbour=F.lag) -> DataFrame:
+    """df with the metres from the row before (or with F.lead to the row after), null where there is none."""
+    near = df.withColumns({"_lat": neighbour("latitude").over(w), "_lon": neighbour("longitude").over(w)})
+    return near.withColumn(out, haversine(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))).drop("_lat", "_lon")
 
 
 def cumulative_distance(a: Activities) -> DataFrame:
     """WIN-2: points with step_m and the running total distance_m, in list order."""
     w = a.by_seq()
-    stepped = a.points.withColumn("step_m", F.coalesce(step_metres(w), F.lit(0.0)))
+    stepped = with_step(a.points, w).withColumn("step_m", F.coalesce("step_m", F.lit(0.0)))
     return stepped.withColumn("distance_m", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -59,23 +67,26 @@ def compute_cumulative_distance(a: Activities) -> tuple[Activities, DataFrame]:
 
 
 def recompute_distance_and_speed(a: Activities) -> Activities:
-    """WIN-3: distance and speed channels from the points, sorted and deduplicated first where times do not rise."""
-    w = a.by_seq()
-    rises = F.coalesce(F.col("time") > F.lag("time").over(w), F.lit(True))
-    state = a.points.withColumn("_ok", rises).groupBy(*a.keys).agg(F.bool_and("_ok").alias("_ok"), F.count(F.lit(1)).alias("_n"))
-    flagged = a.points.join(state, list(a.keys))
-    good, bad = flagged.where("_ok OR _n < 2").drop("_ok", "_n"), flagged.where("NOT _ok AND _n >= 2").drop("_ok", "_n")
-    points = good.unionByName(keep_last(bad, a.keys))
-    samples = a.samples
-    if samples is not None:
-        s = samples.join(state, list(a.keys), "left").withColumn("_sort", F.coalesce(~F.col("_ok") & (F.col("_n") >= 2), F.lit(False)))
-        samples = s.where("NOT _sort").select(samples.columns).unionByName(keep_last(s.where("_sort").select(samples.columns), a.keys, "channel"))
-    enough = state.where("_n >= 2").select(*a.keys)
+    """WIN-3: distance and speed channels from the points, sorted and deduplicated first where times do not rise.
+
+    Whether a recording rises is a window over the same partitioning as all that follows; samples get it by a join.
+    """
+    part, w = Window.partitionBy(*a.keys), a.by_seq()
+    p = a.points.withColumn("_late", F.coalesce(F.lag("time").over(w) >= F.col("time"), F.lit(False)))
+    p = p.withColumns({"_many": F.count(F.lit(1)).over(part) > 1, "_bad": F.max("_late").over(part)})
+    state = p.groupBy(*a.keys).agg(F.first("_many").alias("_many"), F.first("_bad").alias("_bad"))
+    marked = keep_last(p, a.keys, only=F.col("_bad") & F.col("_many"))
     seconds = (F.col("time") - F.lag("time").over(w)) / 1e6
-    walked = cumulative_distance(a.having(points=points.join(enough, list(a.keys), "left_semi"))).withColumn("speed", F.when(seconds > 0, F.col("step_m") / seconds).otherwise(0.0))
+    walked = cumulative_distance(a.having(points=marked.where("_many"))).withColumn("_s", seconds)
+    walked = walked.withColumn("speed", F.when(F.col("_s") > 0, F.col("step_m") / F.col("_s")).otherwise(0.0))
     pair = F.explode(F.create_map(F.lit("distance"), F.col("distance_m"), F.lit("speed"), F.col("speed"))).alias("channel", "value")
-    rows = walked.select(*a.keys, "seq", "time", pair).select(*a.keys, "channel", "seq", "time", "value")
-    return a.having(points=points, samples=_with_channel(a.having(samples=samples), rows, "distance", "speed", only_for=enough))
+    samples = walked.select(*a.keys, "seq", "time", pair).select(*a.keys, "channel", "seq", "time", "value")
+    if a.samples is not None:
+        old = a.samples.join(state, list(a.keys), "left").withColumns({"_many": F.coalesce("_many", F.lit(False)), "_bad": F.coalesce("_bad", F.lit(False))})
+        old = old.where(~(F.col("channel").isin("distance", "speed") & F.col("_many")))
+        old = keep_last(old, a.keys, "channel", only=F.col("_bad") & F.col("_many")).select(a.samples.columns)
+        samples = old.unionByName(samples, allowMissingColumns=True)
+    return a.having(points=marked.select(a.points.columns), samples=samples)
 
 
 def smooth_heart_rate(a: Activities, window: int = 5, channel: str = "heart_rate") -> Activities:
@@ -120,9 +131,8 @@ def largest_contiguous(a: Activities, hours: int = 25, metres: float = 100_000.0
     p = p.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*a.keys, "_run")))
     best = F.max(F.struct("_size", "_run")).over(every)["_run"]
     p = p.withColumn("_best", best).where((F.col("_n") <= least) | (F.col("_run") == F.col("_best")))
-    after = lambda c: F.lead(c).over(w)
-    p = p.withColumn("_left", F.count(F.lit(1)).over(every)).withColumn("_i", F.row_number().over(w)).withColumn("_before", step_metres(w))
-    p = p.withColumn("_after", haversine(F.col("latitude"), F.col("longitude"), after("latitude"), after("longitude")))
+    p = p.withColumn("_left", F.count(F.lit(1)).over(every)).withColumn("_i", F.row_number().over(w))
+    p = with_step(with_step(p, w, "_before"), w, "_after", F.lead)
     far = ((F.col("_i") == 1) & (F.col("_after") > metres)) | ((F.col("_i") == F.col("_left")) & (F.col("_before") > metres))
     keep = (F.col("_n") <= least) | (F.col("_left") < 3) | ~F.coalesce(far, F.lit(False))
     return a.having(points=p.where(keep).select(a.points.columns))

@@ -366,11 +366,11 @@ def rsm1_grid(spark, sf):
 
 @query(f"""WITH {SQL_POINTS}, {_GRID}, lo AS (SELECT t.*, p.time AS t0, p.latitude AS a0, p.elevation AS e0 FROM times t ASOF JOIN points p ON p.activity_id = t.activity_id AND t.time >= p.time),
   hi AS (SELECT l.*, p.time AS t1, p.latitude AS a1, p.elevation AS e1 FROM lo l ASOF JOIN points p ON p.activity_id = l.activity_id AND l.time <= p.time)
-  SELECT activity_id, seq, time, round(CASE WHEN t1 = t0 THEN a0 ELSE a0 + (a1 - a0) * ((time - t0) / (t1 - t0)) END, 6) AS latitude,
-    round(CASE WHEN t1 = t0 THEN e0 ELSE coalesce(e0 + (e1 - e0) * ((time - t0) / (t1 - t0)), e0, e1) END, 6) AS elevation FROM hi""")
+  SELECT activity_id, seq, time, round(CASE WHEN t1 = t0 THEN a0 ELSE a0 + (a1 - a0) * ((time - t0) / (t1 - t0)) END, 9) AS latitude,
+    round(CASE WHEN t1 = t0 THEN e0 ELSE coalesce(e0 + (e1 - e0) * ((time - t0) / (t1 - t0)), e0, e1) END, 9) AS elevation FROM hi""")
 def rsm2_resample_points(spark, sf):
     a = a_(spark, sf)
-    return rounded(resample.resample_points(a, resample.grid(a.points, a.keys, DAY_US)).select("activity_id", "seq", "time", "latitude", "elevation"))
+    return rounded(resample.resample_points(a, resample.grid(a.points, a.keys, DAY_US)).select("activity_id", "seq", "time", "latitude", "elevation"), 9)
 
 
 @query(f"""WITH {SQL_POINTS}, {SQL_SAMPLES}, {_GRID}, s AS (SELECT *, row_number() OVER w AS i, lag(time) OVER w AS pt, lag(value) OVER w AS pv, lead(time) OVER w AS nt, lead(value) OVER w AS nv FROM samples WINDOW w AS (PARTITION BY activity_id, channel ORDER BY time, seq)),
@@ -422,9 +422,9 @@ def rsm8_laps_by_distance(spark, sf):
   s AS (SELECT *, CASE WHEN gap > {12 * HOUR_US} THEN gap // {12 * HOUR_US} ELSE 0 END AS steps FROM g),
   b AS (SELECT *, coalesce(sum(greatest(steps - 1, 0)) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
   n AS (SELECT *, unnest(range(1, (least(steps - 1, 20 - before) + 1)::BIGINT)) AS j FROM b WHERE least(steps - 1, 20 - before) > 0)
-  SELECT activity_id, time, round(latitude, 6) AS latitude FROM points UNION ALL SELECT activity_id, time + round(gap * (j / steps))::BIGINT, round(latitude + (l1 - latitude) * (j / steps), 6) FROM n""")
+  SELECT activity_id, time, round(latitude, 9) AS latitude FROM points UNION ALL SELECT activity_id, time + round(gap * (j / steps))::BIGINT, round(latitude + (l1 - latitude) * (j / steps), 9) FROM n""")
 def rsm9_fill_gaps(spark, sf):
-    return rounded(resample.fill_gaps(a_(spark, sf), 12 * HOUR_US, 20).points.select("activity_id", "time", "latitude"))
+    return rounded(resample.fill_gaps(a_(spark, sf), 12 * HOUR_US, 20).points.select("activity_id", "time", "latitude"), 9)
 
 
 @query()
@@ -538,7 +538,11 @@ def val15_channel_sizes(spark, sf):
     return validate.channel_sizes(a.having(samples=a.samples.where(F.col("time") < T0 + 4 * DAY_US)))
 
 
-@query()
+@query(f"""WITH {SQL_DIRTY}, {SQL_SAMPLES}, f AS (
+  SELECT activity_id, 'error' AS severity FROM points WHERE latitude > 90 UNION ALL
+  SELECT activity_id, CASE WHEN d <= 0 THEN 'error' ELSE 'warning' END FROM (SELECT activity_id, time - lag(time) OVER (PARTITION BY activity_id ORDER BY seq) AS d FROM points) WHERE d <= 0 OR d > {6 * HOUR_US} UNION ALL
+  SELECT activity_id, CASE WHEN d <= 0 THEN 'error' ELSE 'warning' END FROM (SELECT activity_id, time - lag(time) OVER (PARTITION BY activity_id, channel ORDER BY seq) AS d FROM samples) WHERE d <= 0 OR d > {6 * HOUR_US})
+  SELECT activity_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS is_valid FROM f GROUP BY 1""")
 def val17_verdicts(spark, sf):
     return validate.verdicts(validate.validate(a_(spark, sf, False), 6 * HOUR_US))
 
