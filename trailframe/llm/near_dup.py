@@ -1,15 +1,15 @@
 """Near-duplicate groups by fast similarity sketching, banding and exact verification.
 
-A text is the set of its 64-bit hashed five-word shingles. Sketching throws the whole set into T bins, round after round
-with fresh hashes, and keeps the least value of each bin; from round T on each round fills one bin for certain, so
-every coordinate is filled, and for large sets one round does. Estimates concentrate like those of T independent hashes
-at a cost near the set's size. BANDS bands of ROWS coordinates find candidates: a pair at similarity 0.85 is missed
-with probability below 1e-6.
+A text is the set of its 64-bit hashed five-word shingles. Sketching throws the whole set into t bins, round after round
+with fresh hashes, and keeps the least value of each bin. From round t on each round fills one bin for certain, so every
+coordinate is filled; for large sets one round does. Estimates concentrate like those of t independent hashes at a cost
+near the set's size. Bands of coordinates find candidates: a pair at the bound is missed with probability below 1e-6.
 
 Links are confirmed on the full sets. Groups need connectivity only, so a hot bucket never yields all its pairs: equal
-sets are one node; each bucket then links its members to one hub; joined groups count as one in later rounds, and what
-is left between groups of a bucket is checked against the bucket's members, until no unchecked pair remains whose ends
-are in different groups. Groups are found by label propagation on DataFrames.
+sets are one node, each bucket links its members to a hub, and joined groups count as one from then on. What is left
+between groups is checked exhaustively: pair by pair in small buckets, and for large ones, merged where they overlap,
+block against block inside tasks of bounded size, which give only links that join two groups. A pair in a block is
+compared in full unless its sketches already exclude the similarity. Groups are found by star contraction on DataFrames.
 
 Null text, empty text and texts without a word are empty sets, linked with nothing. Texts with fewer than five words
 are one shingle. Rows that repeat a doc_id count as one document. Other columns are not read.
@@ -18,6 +18,7 @@ are one shingle. Rows that repeat a doc_id count as one document. Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,45 @@ from trailframe.plans.shipping import shipped
 
 from .common import checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled
 
-WORDS, PERCENT = 5, 85
-BANDS, ROWS = 40, 8
-T = BANDS * ROWS
+WORDS = 5
 #: Ids of candidates up to which they are broadcast (8 bytes each) to filter the texts; more are joined by shuffle.
 CANDIDATES_BROADCAST = 500_000
+#: Parts into which the copies of one set are dealt.
+SALTS = 16
 #: Hub rounds stop when this many pairs per node are left in all buckets, or after HUB_ROUNDS.
 PAIRS_PER_NODE, HUB_ROUNDS = 1, 2
 #: Buckets above this size are finished in blocks of so many nodes, without making pairs.
 SMALL_BUCKET, BLOCK = 24, 256
-#: Agreeing coordinates that a pair at PERCENT has but for a chance below 1e-7 (5.5 standard deviations).
-LEAST_EQUAL = int(T * (PERCENT / 100 - 5.5 * (PERCENT / 100 * (1 - PERCENT / 100) / T) ** 0.5))
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """Pairs with 100 * intersection >= percent * union are linked; bands of so many rows of the sketch find them.
+
+    A pair at the bound is missed with probability (1 - (percent / 100) ** rows) ** bands.
+    """
+
+    percent: int
+    bands: int
+    rows: int
+
+    @property
+    def size(self) -> int:
+        """Coordinates of a sketch."""
+        return self.bands * self.rows
+
+    @property
+    def least_equal(self) -> int:
+        """Agreeing coordinates that a pair at the bound has but for a chance below 1e-7 (5.5 standard deviations)."""
+        p = self.percent / 100
+        return int(self.size * (p - 5.5 * (p * (1 - p) / self.size) ** 0.5))
+
+
+#: Similarity 0.85, missed with probability 2.4e-7, and 0.8, missed with probability 4.6e-7.
+STRICT, WIDE = Scheme(85, 48, 8), Scheme(80, 48, 6)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     x = (x ^ (x >> np.uint64(30))) * _P2
@@ -75,7 +101,7 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+def sketch(sets: list[np.ndarray], t: int = STRICT.size) -> np.ndarray:
     """(sets, t) sketches; empty sets give zeros."""
     out = np.zeros((len(sets), t), np.uint64)
     live = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
@@ -104,17 +130,17 @@ def sketch(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out
 
 
-def bands(sketches: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) hashes of the bands, as signed numbers."""
-    parts = sketches.reshape(len(sketches), BANDS, ROWS)
+def bands(sketches: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """(sets, bands) hashes of the bands, as signed numbers."""
+    parts = sketches.reshape(len(sketches), scheme.bands, scheme.rows)
     with np.errstate(over="ignore"):
-        key = np.arange(BANDS, dtype=np.uint64)[None, :] * _P1
-        for i in range(ROWS):
+        key = np.arange(scheme.bands, dtype=np.uint64)[None, :] * _P1
+        for i in range(scheme.rows):
             key = mix(key * _P3 + parts[:, :, i])
     return key.view(np.int64)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, bands): set size, a 128-bit digest of the set, and the band keys."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +149,18 @@ def sketched(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = shingles(b.column(1).to_pylist())
             digests = [xxh3_128_intdigest(s.tobytes()) for s in sets]
-            keys = bands(sketch(sets))
+            keys = bands(sketch(sets, scheme.size), scheme)
             low = (1 << 64) - 1
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(np.array([d & low for d in digests], np.uint64).view(np.int64)),
-                pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())),
+                pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), scheme.bands).cast(pa.list_(pa.int64())),
             ], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, for sorted distinct arrays."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -144,7 +170,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_doc, text) of the documents in ids (_id), once each; the ids are broadcast while they are few, so that only their texts move."""
+    few = small_or_shuffled(checkpointed(ids), CANDIDATES_BROADCAST)
+    return docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(few, F.col("_doc") == F.col("_id"), "left_semi")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. The texts of both are joined to each pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +186,16 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for c in (0, 1):
                 texts.update(zip((a, b)[c], batch.column(2 + c).to_pylist(), strict=True))
             sets = dict(zip(texts, shingles([*texts.values()]), strict=True))
-            fine = [similar(sets[x], sets[y]) for x, y in zip(a, b, strict=True)]
+            fine = [similar(sets[x], sets[y], percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.bool_())], names=["a", "b", "linked"])
 
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    some = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(small_or_shuffled(ids, CANDIDATES_BROADCAST), F.col("_doc") == F.col("_id"), "left_semi")
+    some = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
     text = lambda k: some.select(F.col("_doc").alias(k), F.col("text").alias(f"text_{k}"))
     joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     return map_arrow(joined, work, "a long, b long, linked boolean")
 
 
-def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
+def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (a, b) that join different roots among the members (key, node, root) of large buckets.
 
     Buckets that share nodes are one cluster; its nodes are numbered into blocks, and each pair of blocks is a task.
@@ -172,31 +203,34 @@ def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     nothing = docs.sparkSession.createDataFrame([], "a long, b long")
     if not members.limit(1).count():
         return nothing
-    least = members.groupBy("key").agg(F.min("node").alias("b"))
-    clusters = components(members.join(least, "key").select(F.col("node").alias("a"), "b"))
+    star = members.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = components(members.join(star, "key").select(F.col("node").alias("a"), "b"))
     nodes = relabelled(members.select("node", "root").distinct(), clusters, "node", "cluster")
-    placed = numbered(checkpointed(nodes), ["cluster"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    nodes = checkpointed(nodes)
+    placed = numbered(nodes, ["cluster"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
     count = placed.groupBy("cluster").agg(F.max("block").alias("last"))
-    some = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    some = texts_of(docs, nodes.select(F.col("node").alias("_id"))).withColumnRenamed("_doc", "node")
     full = checkpointed(placed.join(count, "cluster").join(some, "node").dropDuplicates(["node"]))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "text")
 
+    least, percent = scheme.least_equal, scheme.percent
+
     def work(table: pa.Table) -> pa.Table:
         block, node = np.array(table.column("block")), np.array(table.column("node"))
         one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         order = np.lexsort((node, block))
         sets = shingles([table.column("text")[int(k)].as_py() for k in order])
         node, root, block = node[order], np.array(table.column("root"))[order], block[order]
-        marks = (sketch(sets) & np.uint64(0xFFFF)).astype(np.uint16)
+        marks = (sketch(sets, scheme.size) & np.uint64(0xFFFF)).astype(np.uint16)
         sizes, out = np.array([len(s) for s in sets]), []
         ends = len(node) if one == two else int((block == one).sum())
         for k in range(ends):
             first = k + 1 if one == two else ends
-            near = (marks[first:] == marks[k]).sum(1) >= LEAST_EQUAL
-            near &= (100 * np.minimum(sizes[first:], sizes[k]) >= PERCENT * np.maximum(sizes[first:], sizes[k])) & (root[first:] != root[k])
+            near = (marks[first:] == marks[k]).sum(1) >= least
+            near &= (100 * np.minimum(sizes[first:], sizes[k]) >= percent * np.maximum(sizes[first:], sizes[k])) & (root[first:] != root[k])
             for m in np.flatnonzero(near) + first:
-                if root[m] != root[k] and similar(sets[k], sets[m]):
+                if root[m] != root[k] and similar(sets[k], sets[m], percent):
                     root[root == root[m]] = root[k]
                     out.append((min(node[k], node[m]), max(node[k], node[m])))
         return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
@@ -204,25 +238,29 @@ def block_links(members: DataFrame, docs: DataFrame) -> DataFrame:
     return checkpointed(dealt.groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
 
 
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node a has one edge (a, b) and no b has an edge of its own."""
+    roots = edges.select(F.col("b").alias("_b")).distinct()
+    if edges.join(roots, edges["a"] == roots["_b"], "left_semi").limit(1).count():
+        return False
+    return not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for the nodes of edges (a, b); alternating large-star and small-star steps.
 
-    Both steps deal the edges by one end only, and each result is kept before it is used twice. A star per component is
-    the fixed point, which shows as an unchanged checksum of the edges.
+    Both steps deal the edges by one end only, each result is kept before it is used twice, and edges lead from larger
+    to smaller nodes, so when each component is a star its root is the least node.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while not is_star_forest(edges):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = checkpointed(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = checkpointed(small.distinct())
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.lit(0))).first()
-        if before == tuple(now):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(now)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def relabelled(rows: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
@@ -231,17 +269,19 @@ def relabelled(rows: DataFrame, roots: DataFrame, node: str, out: str) -> DataFr
     return rows.join(r, rows[node] == r["_n"], "left").withColumn(out, F.coalesce("_r", node)).drop("_n", "_r")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     with short_lived_shuffles(docs.sparkSession):
-        return _grouped(docs)
+        return _grouped(docs, scheme)
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    sets = checkpointed(sketched(docs))
+def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    sets = checkpointed(sketched(docs, scheme))
     alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    copies = checkpointed(alike.select("doc_id", "h1", "h2").join(nodes.where("n > 1"), ["h1", "h2"]).where("doc_id <> node").select("doc_id", "node").distinct())
+    salted = nodes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = alike.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = checkpointed(dealt.join(salted, ["h1", "h2", "salt"]).where("doc_id <> node").select("doc_id", "node").distinct())
     lone = checkpointed(alike.select("doc_id", "bands").join(copies.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
     keyed = lone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -266,13 +306,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = checkpointed(verified(checkpointed(pairs), docs))
+        found = checkpointed(verified(checkpointed(pairs), docs, scheme.percent))
         checked = found.select("a", "b") if checked is None else checked.unionAll(found.select("a", "b"))
         fresh = found.where("linked").select("a", "b")
         links = fresh if links is None else links.unionAll(fresh)
         if last:
             hot = now.join(active.where(F.col("all") > SMALL_BUCKET).select("key"), "key")
-            links = links.unionAll(block_links(checkpointed(hot), docs))
+            links = links.unionAll(block_links(checkpointed(hot), docs, scheme))
         roots = components(links)
         if last:
             break
@@ -281,7 +321,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     return checkpointed(out.select("doc_id", "n_shingles", "component_id")).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     """One document of each group, with all its columns; rows without doc_id stay."""
-    gone = grouped(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = grouped(docs, scheme).where("NOT kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
