@@ -195,3 +195,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.time for r in spark.table("kept").collect()) == [0, 6, 12]
+
+
+def test_gpx_nodes(spark):
+    from trailframe.sources import gpx_nodes as nodes
+
+    info = spark.createDataFrame([("a", "gpx", "running", "Garmin", None, 7, None), ("b", "gpx", "running", None, " ", None, '{"track_name":"n","extensions":[{"tag":"{urn:x}old","text":"kept"}]}')],
+                                 "activity_id string, format string, sport string, manufacturer string, model string, fit_product_id int, metadata string")
+    for c in ("product", "serial_number", "software_version", "fit_manufacturer_id", "creator", "name", "description", "notes", "author"):
+        info = info.withColumn(c, F.lit(None).cast("string"))
+    out = nodes.with_nodes(info, nodes.label_node(F.lit("Race")), nodes.device_node(extras={"battery": F.lit(90)}))
+    points = spark.createDataFrame([("a", 0, 0, 0, T, 1.0, 2.0), ("b", 0, 0, 0, T, 1.0, 2.0)], "activity_id string, track_no int, segment_no int, seq long, time long, latitude double, longitude double")
+    from trailframe.model import Activities
+
+    texts = {r.activity_id: bytes(r.content).decode() for r in files.encoded(Activities(points=points, info=out), "gpx").collect()}
+    assert "Race" in texts["a"] and "fitProductId" in texts["a"] and ">90<" in texts["a"] and "<name>n</name>" in texts["b"] and "Race" in texts["b"] and "kept" in texts["b"]
