@@ -210,3 +210,14 @@ def test_gpx_nodes(spark):
 
     texts = {r.activity_id: bytes(r.content).decode() for r in files.encoded(Activities(points=points, info=out), "gpx").collect()}
     assert "Race" in texts["a"] and "fitProductId" in texts["a"] and ">90<" in texts["a"] and "<name>n</name>" in texts["b"] and "Race" in texts["b"] and "kept" in texts["b"]
+
+
+def test_native_detection_equals_the_python_one(spark):
+    from trailframe.functions.sniff import detect_format
+
+    fit = files.encode_file(sample(), "fit")
+    payloads = [fit, base64.b64encode(fit), CSV.encode(), b"\xef\xbb\xbf" + CSV.encode(), "<gpx>".encode("utf-16"), b"<?xml?><gpx/>", b"<TrainingCenterDatabase/>", b'{"type": "Feature"}', b"hello", b"a\0b", b"\x01\x02\x03\x04\x05", b"", b"YWJjZGVmZ2hpamtsbW5v"]
+    rows = [(None, bytearray(p)) for p in payloads] + [("x/y.JSON#a", bytearray(b"z")), ("q.txt", bytearray(b"z"))]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    got = [r.f for r in df.select(detect_format(F.col("name"), F.col("content")).alias("f")).collect()]
+    assert got == [detect(bytes(p), n) for n, p in rows]

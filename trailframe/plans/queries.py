@@ -728,6 +728,16 @@ def snk17_lossy_report(spark, sf):
     return lossy_report(a_(spark, sf).having(info=None), "csv")
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'gpx' WHEN 1 THEN 'tcx' WHEN 2 THEN 'csv' WHEN 3 THEN 'geojson' WHEN 4 THEN 'fit' WHEN 5 THEN 'geojson' END AS format FROM orders""")
+def src24_detect_format(spark, sf):
+    from ..functions.sniff import detect_format
+
+    heads = F.array(*[F.lit(x) for x in ("<?xml?><gpx>", "<TrainingCenterDatabase>", "timestamp,latitude,longitude\n1,2,3", '{"type":"Feature"}', "12345678.FIT", "nothing", "nothing")])
+    k = (F.col("o_orderkey") % 7).cast("int")
+    o = t.read(spark, sf, "orders").select("o_orderkey", F.when(k == 5, "a/b.json?x=1").alias("name"), F.encode(F.get(heads, k), "UTF-8").alias("content"))
+    return o.select("o_orderkey", detect_format(F.col("name"), F.col("content")).alias("format"))
+
+
 @query()
 def snk2_gpx_texts(spark, sf):
     """GPX of every activity: its length and the points that it reads back to."""
