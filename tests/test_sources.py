@@ -221,3 +221,14 @@ def test_native_detection_equals_the_python_one(spark):
     df = spark.createDataFrame(rows, "name string, content binary")
     got = [r.f for r in df.select(detect_format(F.col("name"), F.col("content")).alias("f")).collect()]
     assert got == [detect(bytes(p), n) for n, p in rows]
+
+
+def test_builder(spark):
+    from datetime import datetime
+
+    from trailframe.sources.builder import ActivityBuilder
+
+    b = ActivityBuilder("x").set(sport="running").points([(T + 5_000_000, 1, 2, 3.0), (T, 1, 2)]).channel("HR", [(T, 1)]).channel("hr", [(T, 5), (datetime(2024, 4, 1, 6, 0, 5), 6)])
+    a = b.lap(T, T + 5_000_000, name="l").workout_set(T, T + 1, repetitions=3).build(spark)
+    assert [r.time for r in a.points.orderBy("seq").collect()] == [T, T + 5_000_000] and [r.value for r in a.samples.orderBy("seq").collect()] == [5, 6]
+    assert a.info.first().sport == "running" and a.sets.first().repetitions == 3 and b.clear().build(spark, False).points.count() == 0
