@@ -26,7 +26,7 @@ RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_t
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, copies, repeated rows, and columns with the operators' own names."""
-    names = ("_id", "_gone", "score", "shard", "size", "block", "node", "text_a", "_text", "surrogate", "key", "lines")
+    names = ("_score", "_id", "_gone", "score", "shard", "size", "block", "node", "text_a", "_text", "surrogate", "key", "lines")
     return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit("extra") for c in names}).repartition(3)
 
 
@@ -84,6 +84,8 @@ def test_classifier_odd(spark, odd, none):
     assert all(abs(r.score - 0.5) < 1e-9 for r in line_crf.judged(odd, empty).collect())
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1, 12)], "doc_id long, quality int")
     assert line_crf.judged(odd, labels).count() == len(ODD) and line_crf.judged(none, labels).count() == 0
+    model = line_crf.trained(odd, labels)
+    assert line_crf.filtered(odd, model).columns == odd.columns and line_crf.filtered(none, model).count() == 0
 
 
 def check_packing(rows, docs, context):
@@ -147,6 +149,8 @@ def test_near_dup_equals_brute_force(docs, odd, none):
     for frame in (docs, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
         want = brute_groups([(r.doc_id, r.text) for r in frame.collect()])
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.grouped(frame).collect()} == want
+    lone = [r for r in near_dup.grouped(odd).collect() if r.doc_id is None]
+    assert [(r.component_id, r.kept) for r in lone] == [(None, True)]
     assert near_dup.grouped(none).count() == 0 and near_dup.deduplicated(odd).columns == odd.columns
 
 

@@ -19,7 +19,7 @@ BATCH_ROWS = 512
 BROADCAST_ROWS = 50_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "utf8_size"]
+__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "utf8_size"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,13 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def utf8_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit("")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, map_arrow
+from .common import BROADCAST_ROWS, checkpointed, fresh, map_arrow
 
 #: Most labelled documents that a model is fitted on.
 SAMPLE = 4000
@@ -165,7 +165,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCrf
 
 def scored(docs: DataFrame, model: LineCrf, columns: list[str], out: str = "score") -> DataFrame:
     """The given columns of docs and the score of each text."""
-    frame = docs.select(*columns, F.col("text").alias("_text"))
+    frame = docs.select(*columns, F.col("text").alias(fresh("_text", columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema[: len(columns)]) + f", `{out}` double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +184,5 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def filtered(docs: DataFrame, model: LineCrf) -> DataFrame:
     """The documents that the model does not reject, with all their columns."""
-    return scored(docs, model, docs.columns, "_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = fresh("_score", docs.columns)
+    return scored(docs, model, docs.columns, score).where(F.col(score) >= THRESHOLD).drop(score)

@@ -11,7 +11,7 @@ between groups is checked exhaustively: pair by pair in small buckets, and for l
 block against block inside tasks of bounded size, which give only links that join two groups. A pair in a block is
 compared in full unless its sketches already exclude the similarity. Groups are found by star contraction on DataFrames.
 
-Null text, empty text and texts without a word are empty sets, linked with nothing. Texts with fewer than five words
+Null text, empty text and texts without a word are empty sets, linked with nothing; rows without doc_id likewise. Texts with fewer than five words
 are one shingle. Rows that repeat a doc_id count as one document. Other columns are not read.
 """
 
@@ -318,10 +318,10 @@ def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
             break
     out = relabelled(sets.select("doc_id", "n_shingles"), copies.select(F.col("doc_id").alias("node"), F.col("node").alias("root")), "doc_id", "_node")
     out = out.withColumn("component_id", F.col("_node")) if roots is None else relabelled(out, roots, "_node", "component_id")
-    return checkpointed(out.select("doc_id", "n_shingles", "component_id")).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return checkpointed(out.select("doc_id", "n_shingles", "component_id")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
     """One document of each group, with all its columns; rows without doc_id stay."""
-    gone = grouped(docs, scheme).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = small_or_shuffled(grouped(docs, scheme).where("NOT kept").select(F.col("doc_id").alias("_gone")), CANDIDATES_BROADCAST)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
