@@ -260,6 +260,16 @@ def test_line_dedup_odd(odd, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_shuffled_ways_give_the_same(docs, odd, monkeypatch):
+    """Beyond the broadcast bounds the joins are shuffled."""
+    sort = lambda df: sorted(map(str, df.collect()))
+    ways = (line_dedup.deduplicated, near_dup.deduplicated)
+    want = [sort(f(frame)) for f in ways for frame in (docs, odd)]
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(near_dup, "CANDIDATES_BROADCAST", 0)
+    assert [sort(f(frame)) for f in ways for frame in (docs, odd)] == want
+
+
 def test_bpe(odd, none, docs):
     enc = encoding()
     for frame in (docs.limit(60), odd):

@@ -45,8 +45,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is; df should be materialized."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """df with a broadcast hint if it has at most limit rows, else as the hashed side of a shuffled join; df should be materialized.
+
+    The hashed side spares the other one, mostly texts, a sort.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_hash")
 
 
 def fresh(name: str, columns: list[str]) -> str:
