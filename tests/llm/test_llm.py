@@ -171,6 +171,16 @@ def test_near_dup_hot_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
 
 
+def test_shingles_of_few_words():
+    """Batches with fewer words than a shingle, down to none."""
+    texts = ["a b", None, "", "A B", "a", "a b c d e f"]
+    for n in range(len(texts) + 1):
+        for part in (texts[:n], texts[n : n + 1]):
+            assert [len(s) for s in near_dup.shingles(part)] == [2 if t and len(t) > 9 else int(bool(t)) for t in part]
+    a, b = near_dup.shingles(["a b", "A B"])
+    assert a.tolist() == b.tolist()
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     for n, same in ((30, 0.5), (500, 0.85), (4000, 0.2)):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trailframe.plans.shipping import shipped
 
-from .common import checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled
+from .common import checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled, spread
 
 WORDS = 5
 #: Ids of candidates up to which they are broadcast (8 bytes each) to filter the texts; more are joined by shuffle.
@@ -84,9 +84,10 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     flat = np.fromiter((h(w) for c in cut for w in c), np.uint64, int(sizes.sum()))
     out, at = [], 0
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(len(flat) - words + 1, 0), np.uint64)
+        count = max(len(flat) - words + 1, 0)
+        rolled = np.zeros(count, np.uint64)
         for i in range(words):
-            rolled = mix(rolled * _P1 + flat[i : len(flat) - words + 1 + i])
+            rolled = mix(rolled * _P1 + flat[i : i + count])
         for n in sizes.tolist():
             if n >= words:
                 out.append(np.unique(rolled[at : at + n - words + 1]))
@@ -157,7 +158,7 @@ def sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), scheme.bands).cast(pa.list_(pa.int64())),
             ], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return map_arrow(spread(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id"), work, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
