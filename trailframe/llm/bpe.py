@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, spread
 
 #: Bytes of text gathered before a query runs, pieces in one query, and pieces remembered between a worker's chunks.
 CHUNK_BYTES, QUERY_PIECES, MEMO_PIECES = 8_000_000, 32_000, 900_000
@@ -150,7 +150,7 @@ def digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
                 pa.array([hashlib.sha256(b"".join([x[2] for x in s])).hexdigest() for s in solved]),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select("doc_id", "text"), work, SCHEMA)
+    return map_arrow(spread(docs.select("doc_id", "text"), "doc_id"), work, SCHEMA)
 
 
 def encoded(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:

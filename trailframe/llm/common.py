@@ -19,7 +19,7 @@ BATCH_ROWS = 512
 BROADCAST_ROWS = 50_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "utf8_size"]
+__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "spread", "utf8_size"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(shipped(fn), schema)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over the cores if it comes in fewer partitions than there are, so that one small file is no single task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else as the hashed side of a shuffled join; df should be materialized.
 

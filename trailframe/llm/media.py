@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import flac
 from .bpe import chunks
-from .common import map_arrow
+from .common import map_arrow, spread
 
 UNIT, CHUNK_BYTES = 64, 1_500_000
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -95,4 +95,4 @@ def digests(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], names=[c.split()[0] for c in DIGESTS.split(", ")])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, DIGESTS)
+    return map_arrow(spread(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id"), work, DIGESTS)

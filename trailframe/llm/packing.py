@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, numbered
+from .common import checkpointed, map_arrow, numbered, spread
 
 CONTEXT, END_ID = 2048, 0
 #: Patterns tried: as many as pieces / PIECES_PER_PATTERN within these bounds, so that repeat counts are not all fractions.
@@ -77,7 +77,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, context: int = CONTEXT)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), work, PIECES)
+    return map_arrow(spread(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id"), work, PIECES)
 
 
 def patterns(histogram: np.ndarray, most: int) -> np.ndarray:
