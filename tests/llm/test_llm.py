@@ -260,6 +260,23 @@ def test_pii_keeps_entities_apart(spark, monkeypatch):
     assert len(few) == len(set(few)) and len({r.text for r in again}) == 5
 
 
+def test_pii_given_names_keep_gender(spark):
+    def variants(stem, ends):
+        return [f"{stem}{a}{b}" for a in ends for b in ends]
+
+    people = [(t, g, n) for t, g, stem, ends in (
+        ("Mr.", ("latin", "m"), "Ed", "abcdefghijklmnopqrst"), ("Mrs.", ("latin", "f"), "Ro", "abcdefghijklmnopqrst"),
+        ("Г-н", ("cyrillic", "m"), "Ед", "абвгдежзиклмнопрстуф"), ("Г-жа", ("cyrillic", "f"), "Ро", "абвгдежзиклмнопрстуф"),
+        ("Κύριος", ("greek", "m"), "Εδ", "αβγδεζηθικλμνξοπρστυ"), ("Κυρία", ("greek", "f"), "Ρο", "αβγδεζηθικλμνξοπρστυ")) for n in variants(stem, ends)]
+    frame = spark.createDataFrame([(i, f"{t} {n} Smith") for i, (t, _, n) in enumerate(people)], "doc_id long, text string")
+    new = {r.doc_id: r.text.split()[1] for r in pii.replaced(frame, b"k").collect()}
+    marked = lambda name, g: name in pii.GIVEN[g] or name.endswith(tuple(pii.ENDINGS[g]))
+    assert len(people) == 2400 and len(set(new.values())) == 2400 and not set(new.values()) & {n for _, _, n in people}
+    for i, (_, g, _) in enumerate(people):
+        other = (g[0], "f" if g[1] == "m" else "m")
+        assert marked(new[i], g) and new[i] not in pii.GIVEN[other] and (new[i] in pii.GIVEN[g] or not new[i].endswith(tuple(pii.ENDINGS[other])))
+
+
 def test_line_dedup_odd(odd, none):
     got = line_dedup.deduplicated(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == len(ODD)

@@ -3,8 +3,9 @@
 Entities (emails, phones, IPv4 addresses, card and identity numbers, IBANs, secrets, titled person names) are found by
 pattern. A surrogate is a keyed permutation of the entity's letters and digits within their classes (a Feistel cipher
 over each class, with the shape as tweak), so the type, script, case, length and punctuation stay, equal entities get
-equal surrogates everywhere and different ones never meet. Person names get names of the same gender and script: the
-given name and the surname are replaced apart, so "Dr. Ada Byron" and a later "Byron" agree.
+equal surrogates everywhere and different ones never meet. Given names get names of the same gender and script (common
+ones, and when those are taken, syllables with an ending of the gender), surnames get syllables of the script. Both are
+replaced apart, so "Dr. Ada Byron" and a later "Byron" agree.
 
 Collision check: a surrogate must differ from every entity of its kind in the corpus and from every other surrogate of
 the kind; the loser (the larger value) tries the next attempt number until none is left. Only those exceptions are
@@ -53,6 +54,15 @@ SYLLABLES = {
     "cyrillic": "бар вел гор дан зор кал лен мар нор пет рос сав тор фед хол".split(),
     "greek": "βαλ γερ δαν θεο καλ λαμ μαν νικ παπ ροδ σαρ τζα φιλ χαρ".split(),
 }
+#: Endings of composed given names by script and gender; no ending of one gender ends like one of the other (fixed values).
+ENDINGS = {
+    ("latin", "m"): "bert fried hard mund rich ton us win".split(),
+    ("latin", "f"): "a ella elle ia ina ine lotte trud".split(),
+    ("cyrillic", "m"): "ий ил мир ор рат слав фей".split(),
+    ("cyrillic", "f"): "ана ева ела ида ина ия уша".split(),
+    ("greek", "m"): "άκης έας ίας ίδης ιος ος ωνας".split(),
+    ("greek", "f"): "άνα έλη ίνα ία ούλα ω ώνη".split(),
+}
 _TITLE = "|".join(t for v in TITLES.values() for t in v)
 #: Each pattern begins with a fixed character or class, which the re module finds fast; see Finder for what may precede.
 DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
@@ -200,12 +210,25 @@ class Surrogates:
             return self.shaped(kind, value, attempt, hexadecimal=re.fullmatch(r"[0-9a-f]+", value) is not None)
         if kind.startswith("given-"):
             _, gender, alphabet = kind.split("-")
-            names = [n for g in (gender if gender != "n" else "mf") for n in GIVEN[alphabet, g]]
-            return names[self.draw(kind, value, attempt) % len(names)] if attempt == 0 else self.name(kind, value, attempt, alphabet)
+            return self.given(kind, value, attempt, alphabet, gender)
         if kind.startswith("surname-"):
             return self.name(kind, value, attempt, kind.split("-")[1])
         return self.shaped(kind, value, attempt)
 
+    def given(self, kind: str, value: str, attempt: int, alphabet: str, gender: str) -> str:
+        """A common given name of the gender at first, later syllables with an ending of the gender; "n" takes either gender."""
+        genders, draw = gender if gender != "n" else "mf", self.draw(kind, value, attempt)
+        if attempt == 0:
+            names = [n for g in genders for n in GIVEN[alphabet, g]]
+            return names[draw % len(names)]
+        endings = [e for g in genders for e in ENDINGS[alphabet, g]]
+        draw, ending = draw // len(endings), endings[draw % len(endings)]
+        parts, word = SYLLABLES[alphabet], ""
+        for _ in range(2 + attempt // 2):
+            word, draw = word + parts[draw % len(parts)], draw // len(parts)
+        word += ending
+        return word.upper() if value.isupper() and len(value) > 1 else word.capitalize()
+
     def name(self, kind: str, value: str, attempt: int, alphabet: str) -> str:
         parts, draw = SYLLABLES[alphabet], self.draw(kind, value, attempt)
         word = ""
