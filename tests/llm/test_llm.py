@@ -277,6 +277,27 @@ def test_pii_given_names_keep_gender(spark):
         assert marked(new[i], g) and new[i] not in pii.GIVEN[other] and (new[i] in pii.GIVEN[g] or not new[i].endswith(tuple(pii.ENDINGS[other])))
 
 
+def test_pii_names_corefer(spark, monkeypatch):
+    texts = [
+        "Dr. Ada Byron met Ada Byron, and Ada saw Byron. Mrs. Ada Byron left; Mrs. Ada slept. Adam and Byronic stay.",
+        "Prof. Ada Lovelace and Mr. Jo Byron.",
+        "Mr. Paul Thomas met Dr. Thomas Young; Paul Thomas left and Thomas\nYoung stayed.",
+        "Ada has no title here."]
+    texts += [f"{t} Na{x}{y} Smith" for t in ("Mr.", "Mrs.", "Dr.") for x in "abcdefgh" for y in f"{t[-2]}xyz"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replaced(frame, b"k").collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met (\w+) (\w+), and (\w+) saw (\w+)\. Mrs\. (\w+) (\w+) left; Mrs\. (\w+) slept\. Adam and Byronic stay\.", new[0])
+    assert {m[i] for i in (1, 3, 5, 7, 9)} == {m[1]} and {m[i] for i in (2, 4, 6, 8)} == {m[2]} and "Ada" != m[1] and "Byron" != m[2]
+    assert m[1] in pii.GIVEN["latin", "f"] or m[1].endswith(tuple(pii.ENDINGS["latin", "f"]))
+    assert new[1].split()[1] == m[1] and new[1].split()[-1] == m[2] + "." and new[3] == texts[3]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Dr\. (\w+) (\w+); (\w+) (\w+) left and (\w+)\n(\w+) stayed\.", new[2])
+    assert m.groups()[:2] == m.groups()[4:6] and m.groups()[2:4] == m.groups()[6:]
+    old = {t.split()[1] for t in texts[4:]}
+    assert len({new[i].split()[1] for i in range(4, len(texts))}) == len(old)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.text for r in pii.replaced(frame, b"k").collect()} == new
+
+
 def test_line_dedup_odd(odd, none):
     got = line_dedup.deduplicated(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == len(ODD)

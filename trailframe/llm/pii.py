@@ -5,11 +5,15 @@ pattern. A surrogate is a keyed permutation of the entity's letters and digits w
 over each class, with the shape as tweak), so the type, script, case, length and punctuation stay, equal entities get
 equal surrogates everywhere and different ones never meet. Given names get names of the same gender and script (common
 ones, and when those are taken, syllables with an ending of the gender), surnames get syllables of the script. Both are
-replaced apart, so "Dr. Ada Byron" and a later "Byron" agree.
+replaced apart, and a name found with a title is replaced everywhere in the text, so "Dr. Ada Byron", "Ada Byron", "Ada"
+and "Byron" agree (so is a common word that serves as a name there; a name that is both counts as a surname unless it
+stands in a full name). Names that have no title anywhere in their text are not found. A given name has one gender in the
+corpus: that of most of its titles that tell one.
 
 Collision check: a surrogate must differ from every entity of its kind in the corpus and from every other surrogate of
-the kind; the loser (the larger value) tries the next attempt number until none is left. Only those exceptions are
-looked up when texts are rewritten: from a broadcast map while they are few, else joined to their documents by shuffle.
+the kind; the loser (the larger value) tries the next attempt number until none is left. Only those exceptions
+and the genders of given names are looked up when texts are rewritten: from a broadcast map while they are few, else
+joined to their documents by shuffle.
 
 Null text stays null, empty text empty; texts are scanned whole. Repeated rows give repeated results. All columns pass
 through; only text changes.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hmac
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -90,6 +95,25 @@ def script(word: str) -> str:
 class Finder:
     """Units (kind, value, start, end) of a text: each is replaced on its own."""
 
+    @staticmethod
+    def people(text: str) -> list[tuple[str, tuple[int, int] | None, tuple[int, int] | None]]:
+        """(title, span of the given name, span of the surname) of the titled names.
+
+        One name after a title is a surname, unless the text has it as a given name only.
+        """
+        if not any(t in text for t in _GENDER):
+            return []
+        found = list(PERSON.finditer(text))
+        given, surnames = {m["first"] for m in found if m["last"]}, {m["last"] for m in found if m["last"]}
+        lone = lambda m: (m["title"], m.span("first"), None) if m["first"] in given - surnames else (m["title"], None, m.span("first"))
+        return [(m["title"], m.span("first"), m.span("last")) if m["last"] else lone(m) for m in found]
+
+    @staticmethod
+    def genders(text: str) -> list[tuple[str, str, str]]:
+        """(kind, value, gender) of the given names whose title tells the gender."""
+        named = [(text[slice(*first)], _GENDER[title]) for title, first, _ in Finder.people(text) if first]
+        return [(f"given-{script(n)}", n, g) for n, g in named if g != "n"]
+
     @staticmethod
     def units(text: str) -> list[tuple[str, str, int, int]]:
         out: list[tuple[str, str, int, int]] = []
@@ -123,18 +147,25 @@ class Finder:
             for blob in NUMBERS.finditer(text):
                 for m in NUMBER.finditer(text, *blob.span()):
                     add(m.lastgroup, *m.span())
-        if any(t in text for t in _GENDER):
-            surnames = set()
-            for m in PERSON.finditer(text):
-                first, last = m["first"], m["last"]
-                if last:
-                    add(f"given-{_GENDER[m['title']]}-{script(first)}", *m.span("first"))
-                name, span = (last, m.span("last")) if last else (first, m.span("first"))
-                surnames.add(name)
-                add(f"surname-{script(name)}", *span)
-            for name in surnames:
+        full, given, surnames = {}, {}, {}
+        for _, first, last in Finder.people(text):
+            names = [text[slice(*x)] if x else None for x in (first, last)]
+            if first:
+                add(f"given-{script(names[0])}", *first)
+                given[names[0]] = None
+            if last:
+                add(f"surname-{script(names[1])}", *last)
+                surnames[names[1]] = None
+            if first and last:
+                full[tuple(names)] = None
+        for first, last in full:
+            for m in re.finditer(rf"\b({re.escape(first)})\s+({re.escape(last)})\b", text):
+                add(f"given-{script(first)}", *m.span(1))
+                add(f"surname-{script(last)}", *m.span(2))
+        for kind, names in (("surname", surnames), ("given", given)):
+            for name in names:
                 for m in re.finditer(rf"\b{re.escape(name)}\b", text):
-                    add(f"surname-{script(name)}", *m.span())
+                    add(f"{kind}-{script(name)}", *m.span())
         return sorted(out, key=lambda u: u[2])
 
 
@@ -182,15 +213,15 @@ class Surrogates:
                 said += "".join(value[i] for i in at)
         return "".join(out)
 
-    def surrogate(self, kind: str, value: str, attempt: int = 0) -> str:
-        found = self.memo.get((kind, value, attempt))
+    def surrogate(self, kind: str, value: str, attempt: int = 0, gender: str = "n") -> str:
+        found = self.memo.get((kind, value, attempt, gender))
         if found is None:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            found = self.memo[kind, value, attempt] = self.make(kind, value, attempt)
+            found = self.memo[kind, value, attempt, gender] = self.make(kind, value, attempt, gender)
         return found
 
-    def make(self, kind: str, value: str, attempt: int) -> str:
+    def make(self, kind: str, value: str, attempt: int, gender: str) -> str:
         if kind == "ip":
             return ".".join(map(str, self.permute([int(x) for x in value.split(".")], 256, kind, attempt)))
         if kind == "email":
@@ -209,8 +240,7 @@ class Surrogates:
                 return "AKIA" + self.shaped(kind, value[4:], attempt)
             return self.shaped(kind, value, attempt, hexadecimal=re.fullmatch(r"[0-9a-f]+", value) is not None)
         if kind.startswith("given-"):
-            _, gender, alphabet = kind.split("-")
-            return self.given(kind, value, attempt, alphabet, gender)
+            return self.given(kind, value, attempt, kind.split("-")[1], gender)
         if kind.startswith("surname-"):
             return self.name(kind, value, attempt, kind.split("-")[1])
         return self.shaped(kind, value, attempt)
@@ -252,46 +282,54 @@ def luhn(digits: list[int]) -> int:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, value) of the corpus."""
+    """Distinct (kind, value, gender) of the corpus; gender is "m" or "f" for given names where most titles say so, else "n"."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = sorted({u[:2] for t in b.column(0).to_pylist() if t for u in Finder.units(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in seen], pa.string()), pa.array([u[1] for u in seen], pa.string())], names=["kind", "value"])
+            seen, votes = set(), Counter()
+            for t in filter(None, b.column(0).to_pylist()):
+                units = {u[:2] for u in Finder.units(t)}
+                seen |= units
+                if any(kind.startswith("given-") for kind, _ in units):
+                    votes.update(Finder.genders(t))
+            seen = sorted(seen)
+            columns = [pa.array([u[i] for u in seen], pa.string()) for i in range(2)] + [pa.array([votes[*u, g] for u in seen], pa.int64()) for g in "mf"]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "value", "m", "f"])
 
-    return map_arrow(docs.select("text"), work, "kind string, value string").distinct()
+    votes = map_arrow(docs.select("text"), work, "kind string, value string, m long, f long").groupBy("kind", "value").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
+    return votes.select("kind", "value", F.when(F.col("m") > F.col("f"), "m").when(F.col("m") < F.col("f"), "f").otherwise("n").alias("gender"))
 
 
 def assigned(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt, surrogate) without collisions within a kind."""
+    """(kind, value, attempt, gender, surrogate) without collisions within a kind."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
         for b in batches:
             rows = [made.surrogate(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.string())], names=["kind", "value", "attempt", "surrogate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.string())], names=["kind", "value", "attempt", "gender", "surrogate"])
 
-    schema = "kind string, value string, attempt int, surrogate string"
+    schema = "kind string, value string, attempt int, gender string, surrogate string"
     found = checkpointed(found)
     taken = found.select(F.col("kind").alias("k"), F.col("value").alias("v"))
-    done = checkpointed(map_arrow(found.withColumn("attempt", F.lit(0)), work, schema))
+    done = checkpointed(map_arrow(found.select("kind", "value", F.lit(0).alias("attempt"), "gender"), work, schema))
     for _ in range(MOST_ATTEMPTS):
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")) == 1
         real = done.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("v")), "left").drop("k")
         state = checkpointed(real.withColumn("fine", first & F.col("v").isNull()).drop("v"))
         if not (lost := state.where("NOT fine")).limit(1).count():
             return done
-        again = map_arrow(lost.select("kind", "value", (F.col("attempt") + 1).alias("attempt")), work, schema)
+        again = map_arrow(lost.select("kind", "value", (F.col("attempt") + 1).alias("attempt"), "gender"), work, schema)
         done = checkpointed(state.where("fine").drop("fine").unionByName(again))
     raise RuntimeError("surrogates still collide; give more attempts")
 
 
 def replaced(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
     """docs with all entities in text replaced; count names a further column with their number."""
-    exceptions = checkpointed(assigned(entities(docs), key).where("attempt > 0").select("kind", "value", "attempt"))
+    exceptions = checkpointed(assigned(entities(docs), key).where("attempt > 0 OR gender <> 'n'").select("kind", "value", "attempt", "gender"))
     few = exceptions.limit(BROADCAST_ROWS + 1).collect()  # bounded
     source, looked_up = docs, len(few) > BROADCAST_ROWS
-    attempts = {} if looked_up else {(r.kind, r.value): r.attempt for r in few}
+    attempts = {} if looked_up else {(r.kind, r.value): (r.attempt, r.gender) for r in few}
     if looked_up:
         source = with_attempts(docs, exceptions)
     at = docs.columns.index("text")
@@ -304,11 +342,11 @@ def replaced(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame
             texts, counts = [], []
             own = b.column(width).to_pylist() if looked_up else None
             for i, t in enumerate(b.column(at).to_pylist()):
-                known = {(e["kind"], e["value"]): e["attempt"] for e in own[i] or ()} if looked_up else attempts
+                known = {(e["kind"], e["value"]): (e["attempt"], e["gender"]) for e in own[i] or ()} if looked_up else attempts
                 units = Finder.units(t) if t else []
                 out, last = [], 0
                 for kind, value, start, end in units:
-                    out += [t[last:start], made.surrogate(kind, value, known.get((kind, value), 0))]
+                    out += [t[last:start], made.surrogate(kind, value, *known.get((kind, value), ()))]
                     last = end
                 texts.append("".join([*out, t[last:]]) if units else t)
                 counts.append(len(units))
@@ -330,5 +368,5 @@ def with_attempts(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["h", "kind", "value"])
 
     said = map_arrow(docs.select(F.sha2("text", 256).alias("h"), "text"), mentions, "h string, kind string, value string").distinct()
-    own = said.join(exceptions, ["kind", "value"]).groupBy("h").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))
+    own = said.join(exceptions, ["kind", "value"]).groupBy("h").agg(F.collect_list(F.struct("kind", "value", "attempt", "gender")).alias("_own"))
     return docs.join(own, F.sha2(docs["text"], 256) == own["h"], "left").select(*[docs[c] for c in docs.columns], own["_own"])
