@@ -164,6 +164,28 @@ def test_merge_and_split(spark):
     assert whole.points.count() == 6 and sorted(r.sport for r in whole.laps.collect()) == ["cycling", "running", "swimming"]
 
 
+def test_channel_sizes_of_the_whole_table(spark, sf_dir, tmp_path):
+    """Late single samples and channels without any are found, a channel with one early and one late sample is not."""
+    import duckdb
+
+    from tests.conftest import rows_of
+    from trailframe.plans.queries import ORACLES, QUERIES
+    from trailframe.plans.tables import DAY_US, T0
+
+    name = "val15_channel_sizes_whole"
+    rows = [(1, 1, "view", 9), (2, 1, "click", 0), (3, 1, "click", 8), (4, 2, "click", 1), (5, 2, "click", 7)]
+    given = spark.createDataFrame([(i, u, c, T0 + day * DAY_US) for i, u, c, day in rows], "event_id long, user_id long, event_type string, us long")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    made = {"ts": F.timestamp_micros("us"), "value": F.lit(1.0), "props": F.lit("{}")}
+    given.select(*[made.get(f.name, F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert sorted(map(tuple, got[["activity_id", "code", "detail"]].values)) == [(1, "validation.channel.single_sample", "view"), (2, "validation.channel.empty", "view")]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = duck.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
+
+
 def test_validation_codes(spark):
     points = [(0, 95.0, 0.0, None), (0, 40.0, 190.0, float("nan")), (-5, 40.0, 0.0, None), (900, 40.0, 0.0, None)]
     samples = {"heart_rate": [(-9, 300), (950, 60)], "distance": [(0, 5), (1, 4), (2, -1)], "power": [(0, -1), (1, float("nan"))]}

@@ -1,7 +1,7 @@
 """Registered queries of the activity operators with the same results as SQL text.
 
-Every query runs over the whole events table (tables.py makes recordings of it). Results carry integer microseconds and
-doubles rounded to a few decimals, so that both engines give the same values.
+Every query but val15_channel_sizes runs over the whole events table (tables.py makes recordings of it). Results carry
+integer microseconds and doubles rounded to a few decimals, so that both engines give the same values.
 """
 
 from __future__ import annotations
@@ -538,6 +538,16 @@ def val15_channel_sizes(spark, sf):
     return validate.channel_sizes(a.having(samples=a.samples.where(F.col("time") < T0 + 4 * DAY_US)))
 
 
+@query(f"""WITH {SQL_SAMPLES}, n AS (SELECT activity_id, channel, count(*) AS n, min(time) AS time FROM samples GROUP BY 1, 2),
+  listed AS (SELECT * FROM (SELECT DISTINCT activity_id FROM samples) CROSS JOIN (SELECT DISTINCT channel FROM samples))
+  SELECT l.activity_id, 'warning' AS severity, CASE WHEN n IS NULL THEN 'validation.channel.empty' ELSE 'validation.channel.single_sample' END AS code, CASE WHEN n IS NULL THEN 3 ELSE 4 END AS priority, time, l.channel AS detail
+  FROM listed l LEFT JOIN n ON n.activity_id = l.activity_id AND n.channel = l.channel WHERE n IS NULL OR n = 1""")
+def val15_channel_sizes_whole(spark, sf):
+    """Over all samples, every channel of the table being listed for every recording; val15_channel_sizes sees the first days only."""
+    a = a_(spark, sf)
+    return validate.channel_sizes(a, a.samples.select("activity_id").distinct().crossJoin(F.broadcast(a.samples.select("channel").distinct())))
+
+
 @query(f"""WITH {SQL_DIRTY}, {SQL_SAMPLES}, f AS (
   SELECT activity_id, 'error' AS severity FROM points WHERE latitude > 90 UNION ALL
   SELECT activity_id, CASE WHEN d <= 0 THEN 'error' ELSE 'warning' END FROM (SELECT activity_id, time - lag(time) OVER (PARTITION BY activity_id ORDER BY seq) AS d FROM points) WHERE d <= 0 OR d > {6 * HOUR_US} UNION ALL
