@@ -186,6 +186,26 @@ def test_channel_sizes_of_the_whole_table(spark, sf_dir, tmp_path):
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
 
 
+def test_snapped_to_downsampled_points(spark, sf_dir):
+    """Brute force over the points that a step of a day keeps, on the smallest tables."""
+    from trailframe.plans.queries import QUERIES, TOL, a_
+    from trailframe.plans.tables import DAY_US
+
+    a, tracks = a_(spark, sf_dir), {}
+    for r in a.points.orderBy("activity_id", "seq").collect():
+        tracks.setdefault(r.activity_id, []).append(r.time)
+    kept = {}
+    for key, times in tracks.items():
+        out = [times[0]]
+        for t in times[1:]:
+            if t - out[-1] >= DAY_US:
+                out.append(t)
+        kept[key] = {*out, times[-1]}
+    want = {(r.activity_id, r.channel, r.seq, r.time) for r in a.samples.collect() if any(abs(t - r.time) <= TOL for t in kept[r.activity_id])}
+    got = [tuple(r) for r in QUERIES["jn7_snapped_downsampled"](spark, sf_dir).select("activity_id", "channel", "seq", "time").collect()]
+    assert len(got) == len(want) > 0 and set(got) == want
+
+
 def test_validation_codes(spark):
     points = [(0, 95.0, 0.0, None), (0, 40.0, 190.0, float("nan")), (-5, 40.0, 0.0, None), (900, 40.0, 0.0, None)]
     samples = {"heart_rate": [(-9, 300), (950, 60)], "distance": [(0, 5), (1, 4), (2, -1)], "power": [(0, -1), (1, float("nan"))]}

@@ -1,7 +1,8 @@
 """Registered queries of the activity operators with the same results as SQL text.
 
-Every query but val15_channel_sizes runs over the whole events table (tables.py makes recordings of it). Results carry
-integer microseconds and doubles rounded to a few decimals, so that both engines give the same values.
+Every query but val15_channel_sizes and jn7_snapped_samples runs over the whole events table (tables.py makes recordings
+of it). Results carry integer microseconds and doubles rounded to a few decimals, so that both engines give the same
+values.
 """
 
 from __future__ import annotations
@@ -242,6 +243,16 @@ def jn7_snapped_samples(spark, sf):
     return joins.snapped(a, kept, TOL).select("activity_id", "channel", "seq", "time")
 
 
+@query(f"""WITH RECURSIVE {SQL_POINTS}, {SQL_SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY seq) AS i, max(seq) OVER (PARTITION BY activity_id) AS top FROM points),
+  k AS (SELECT activity_id, i, time, time AS kept FROM n WHERE i = 1 UNION ALL SELECT n.activity_id, n.i, n.time, CASE WHEN n.time - k.kept >= {DAY_US} THEN n.time ELSE k.kept END FROM k JOIN n ON n.activity_id = k.activity_id AND n.i = k.i + 1),
+  retained AS (SELECT k.activity_id, k.time FROM k JOIN n ON n.activity_id = k.activity_id AND n.i = k.i WHERE k.kept = k.time OR n.seq = n.top)
+  SELECT DISTINCT s.activity_id, s.channel, s.seq, s.time FROM samples s JOIN retained r ON r.activity_id = s.activity_id AND abs(r.time - s.time) <= {TOL}""")
+def jn7_snapped_downsampled(spark, sf):
+    """Samples near the points that down-sampling keeps; jn7_snapped_samples takes every fourth point instead."""
+    a = a_(spark, sf)
+    return joins.snapped(a, resample.downsample_time(a, DAY_US).points, TOL).select("activity_id", "channel", "seq", "time")
+
+
 @query(f"WITH {SQL_POINTS}, {SQL_SAMPLES}, {_NEAR.format(tie=LATER, tol=TOL)} SELECT activity_id, seq, channel, value FROM near WHERE r = 1 AND delta <= CASE channel WHEN 'click' THEN {HOUR_US} WHEN 'view' THEN {TOL} ELSE 5000000 END")
 def jn8_per_channel_tolerance(spark, sf):
     a = a_(spark, sf)
