@@ -232,3 +232,23 @@ def test_builder(spark):
     a = b.lap(T, T + 5_000_000, name="l").workout_set(T, T + 1, repetitions=3).build(spark)
     assert [r.time for r in a.points.orderBy("seq").collect()] == [T, T + 5_000_000] and [r.value for r in a.samples.orderBy("seq").collect()] == [5, 6]
     assert a.info.first().sport == "running" and a.sets.first().repetitions == 3 and b.clear().build(spark, False).points.count() == 0
+
+
+def test_round_trips_keep_recordings_that_cannot_be_written(spark, sf_dir, monkeypatch):
+    from trailframe.plans.queries import QUERIES
+
+    real = files.encoded
+
+    def failing(a, fmt):
+        bad = F.col("activity_id") == "3"
+        return real(a, fmt).withColumns({"content": F.when(~bad, F.col("content")), "error": F.when(bad, F.lit('no "way"'))})
+
+    for name in ("snk7_fit_files", "snk11_csv_texts"):
+        every = {r.activity_id: r for r in QUERIES[name](spark, sf_dir).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(files, "encoded", failing)
+            got = {r.activity_id: r for r in QUERIES[name](spark, sf_dir).collect()}
+        assert set(got) == set(every) and "3" in got and got["3"].points is None and got["3"].samples is None
+        assert all(got[k] == every[k] for k in got if k != "3")
+        if name == "snk7_fit_files":
+            assert got["3"].error == 'no "way"' and all(r.error is None for r in every.values())

@@ -762,12 +762,12 @@ def src24_detect_format(spark, sf):
 @query()
 def snk2_gpx_texts(spark, sf):
     """GPX of every activity: its length and the points that it reads back to."""
-    return _written_and_read(spark, sf, "gpx")
+    return _written_and_read(spark, sf, "gpx", "error")
 
 
 @query()
 def snk4_tcx_texts(spark, sf):
-    return _written_and_read(spark, sf, "tcx")
+    return _written_and_read(spark, sf, "tcx", "error")
 
 
 @query(f"WITH {SQL_POINTS}, {SQL_SAMPLES} SELECT p.activity_id::VARCHAR AS activity_id, p.n AS points, s.n AS samples FROM (SELECT activity_id, count(*) AS n FROM points GROUP BY 1) p JOIN (SELECT activity_id, count(*) AS n FROM samples GROUP BY 1) s ON s.activity_id = p.activity_id")
@@ -782,18 +782,23 @@ def snk14_geojson_texts(spark, sf):
 
 @query()
 def snk7_fit_files(spark, sf):
-    return _written_and_read(spark, sf, "fit")
+    return _written_and_read(spark, sf, "fit", "error")
 
 
-def _written_and_read(spark, sf, fmt: str) -> DataFrame:
-    """Numbers of points and samples of every activity after a round trip through a format."""
+def _written_and_read(spark, sf, fmt: str, *more: str) -> DataFrame:
+    """Numbers of points and samples of every activity after a round trip through a format, null where it cannot be written.
+
+    more may name "error", which says why; the formats with SQL, which has no such column, leave it out.
+    """
     from ..sources import files
 
     a = a_(spark, sf)
     a = a.having(**{k: df.withColumn("activity_id", F.col("activity_id").cast("string")) for k, df in a.tables().items()})
-    texts = files.encoded(a, fmt).where("error IS NULL")
-    nested = files.decoded(texts.select("activity_id", "content"), fmt="geojson" if fmt == "geojson-points" else fmt)
-    return nested.select("activity_id", F.size("points").cast("long").alias("points"), F.size("samples").cast("long").alias("samples"))
+    texts = files.encoded(a, fmt).select(F.to_json(F.struct("activity_id", "error")).alias("name"), "content")  # the error goes along
+    nested = files.decoded(texts, fmt="geojson" if fmt == "geojson-points" else fmt)
+    nested = nested.select(F.from_json("activity_id", "activity_id string, error string").alias("name"), "points", "samples").select("name.*", "points", "samples")
+    size = lambda c: F.when(F.col("error").isNull(), F.size(c).cast("long")).alias(c)
+    return nested.select("activity_id", size("points"), size("samples"), *more)
 
 
 # --- the flagship -------------------------------------------------------------------------------------------------
