@@ -298,6 +298,15 @@ def test_pii_names_corefer(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii.replaced(frame, b"k").collect()} == new
 
 
+def test_pii_secrets_without_digits(spark):
+    texts = ["password=CorrectHorseBattery end", "Secret: 'open-sesame-please' 1", "the token: interesting", "no password here, only words", "api_key=abcdefgh1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replaced(frame, b"k").collect()}
+    assert re.fullmatch(r"password=[A-Z][a-z]{6}[A-Z][a-z]{4}[A-Z][a-z]{6} end", new[0]) and "CorrectHorseBattery" not in new[0]
+    assert re.fullmatch(r"Secret: '[a-z]{4}-[a-z]{6}-[a-z]{6}' 1", new[1]) and "sesame" not in new[1]
+    assert new[2] == texts[2] and new[3] == texts[3] and "abcdefgh1" not in new[4]
+
+
 def test_line_dedup_odd(odd, none):
     got = line_dedup.deduplicated(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == len(ODD)

@@ -15,6 +15,9 @@ the kind; the loser (the larger value) tries the next attempt number until none
 and the genders of given names are looked up when texts are rewritten: from a broadcast map while they are few, else
 joined to their documents by shuffle.
 
+Secrets are access keys and values of at least 8 characters assigned to a keyword; values of token and key keywords, which
+prose also has, need a digit, those of password and secret keywords do not.
+
 Null text stays null, empty text empty; texts are scanned whole. Repeated rows give repeated results. All columns pass
 through; only text changes.
 """
@@ -73,6 +76,8 @@ _TITLE = "|".join(t for v in TITLES.values() for t in v)
 DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
 ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 KEYWORD = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_/+\-]{8,})")
+#: Keywords whose value is a secret even without a digit.
+SAYS_SECRET = ("password", "passwd", "pwd", "secret")
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key")
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: A stretch that may hold numbers, and the numbers in it by falling priority.
@@ -132,15 +137,15 @@ class Finder:
                 if start < m.start():
                     add("email", start, m.end())
         digits = DIGIT.search(text) is not None
+        if digits and "AKIA" in text:
+            for m in ACCESS_KEY.finditer(text):
+                add("secret", *m.span())
+        low = text.lower()
+        if any(k in low for k in KEYWORDS):
+            for m in KEYWORD.finditer(text):
+                if DIGIT.search(m[1]) or m[0].lower().startswith(SAYS_SECRET):
+                    add("secret", *m.span(1))
         if digits:
-            if "AKIA" in text:
-                for m in ACCESS_KEY.finditer(text):
-                    add("secret", *m.span())
-            low = text.lower()
-            if any(k in low for k in KEYWORDS):
-                for m in KEYWORD.finditer(text):
-                    if DIGIT.search(m[1]):
-                        add("secret", *m.span(1))
             for m in IBAN.finditer(text):
                 if not text[m.start() - 1 : m.start()].isalnum():
                     add("iban", *m.span())
