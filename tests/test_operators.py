@@ -206,6 +206,15 @@ def test_snapped_to_downsampled_points(spark, sf_dir):
     assert len(got) == len(want) > 0 and set(got) == want
 
 
+def test_csv_field_keeps_unquoted_and_null(spark, tmp_path):
+    from trailframe.plans.queries import QUERIES
+
+    rows = [(1, "1-URGENT"), (2, "PLAIN"), (3, None), (4, "4-NOT SPECIFIED"), (5, "NOT SPECIFIED")]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.field for r in QUERIES["fn10_csv_field"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[1] == '"1""URGENT"' and got[2] == "PLAIN" and not got[3] and got[4] == '"4""NOT,SPECIFIED"' and got[5] == '"NOT,SPECIFIED"'
+
+
 def test_validation_codes(spark):
     points = [(0, 95.0, 0.0, None), (0, 40.0, 190.0, float("nan")), (-5, 40.0, 0.0, None), (900, 40.0, 0.0, None)]
     samples = {"heart_rate": [(-9, 300), (950, 60)], "distance": [(0, 5), (1, 4), (2, -1)], "power": [(0, -1), (1, float("nan"))]}
