@@ -340,6 +340,28 @@ def test_bpe(odd, none, docs):
     assert [bytes(r.decoded).decode() for r in bpe.encoded(docs.limit(3), RANKS, PATTERN).collect()] == [r.text for r in docs.limit(3).collect()]
 
 
+def test_bpe_long_words(monkeypatch):
+    """Words far beyond a segment: random letters, base64, CJK, repeats and digits, and a memo that is always full."""
+    rng, enc = np.random.default_rng(7), encoding()
+    drawn = lambda letters, n: "".join(np.array(list(letters))[rng.integers(0, len(letters), n)])
+    texts = [drawn("abcdefghijklmnopqrstuvwxyz", 40_000), drawn("abcdefghijklmnopqrstuvwxyz", 200_000), base64.b64encode(rng.bytes(60_000)).decode(),
+             drawn([chr(c) for c in range(0x4E00, 0x9F00)], 20_000), drawn("acgt", 20_000), drawn("0123456789", 2_000), "ab" * 3_000 + "=" * 501]
+    coder = bpe.RecursiveBpe(RANKS, PATTERN)
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    monkeypatch.setattr(bpe, "SLICE", 1_000)
+    for text in texts:
+        assert coder.ids(text) == enc.encode_ordinary(text) and "".join(x[3] for x in coder.encode([text])) == text
+    assert [d for d, *_ in coder.encode(["", "a b", ""])] == [1]
+
+
+def test_vocabulary_is_made_by_its_merges():
+    """Each token is what encoding its own bytes gives, so contractions never make pairs of lower rank."""
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): b.decode() for a, b in map(bytes.split, f)}
+    tokens = sorted(ranks, key=lambda t: len(t) > bpe.LONG)
+    assert bpe.coder(RANKS, PATTERN).solve(tokens).column("shown").to_pylist() == [ranks[t] for t in tokens]
+
+
 def pcm(blocks):
     return (media.samples(blocks) + 128).astype(np.uint8).tobytes()
 
