@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +15,15 @@ from pyspark.sql.window import Window
 from trailframe.plans.checkpoints import checkpoint_folder, checkpointed
 from trailframe.plans.shipping import shipped
 
-#: Rows in one Arrow batch sent to Python. Texts may be very long, so a batch stays small.
+#: Rows of an Arrow batch that a function sees at once; Spark bounds the bytes of a batch (arrow.maxBytesPerBatch).
 BATCH_ROWS = 512
+#: Keys with more than one row in so many are hot, and at least this many rows make a key hot.
+HOT_SHARE, LEAST_HOT = 10_000, 500
 #: Rows up to which a lookup table may be broadcast; beyond it the callers join by shuffle.
 BROADCAST_ROWS = 50_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "spread", "utf8_size"]
+__all__ = ["BROADCAST_ROWS", "Hot", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "spread", "utf8_size"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,17 +43,61 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of bounded row count, so that very long texts stay within a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(shipped(fn), schema)
+    """mapInArrow whose function sees batches of bounded row count, so that very long texts stay within a worker's memory."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(shipped(work), schema)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df dealt by key over the cores if it comes in fewer partitions than there are, so that one small file is no single task."""
+    """df dealt by key over the cores if it is a plain scan with fewer partitions than there are, so that one small file is no single task."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search("Join|Aggregate|Window|Sort|Repartition|MapIn|FlatMap|Generate", plan):
+        return df  # counting its partitions could run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+class Hot:
+    """The hot keys of counts (key columns, n rows of each), so that joins on them can be dealt over many tasks.
+
+    At most HOT_SHARE keys are hot and their parts are at most twice as many, whatever the counts; only these keys
+    reach the driver. counts is read twice, so it should be materialized.
+    """
+
+    def __init__(self, counts: DataFrame, key: list[str], n: str = "n"):
+        self.key = key
+        total, most = counts.agg(F.sum(n), F.max(n)).first()
+        cut = max(LEAST_HOT, (total or 0) // HOT_SHARE)
+        self.parts = None
+        if (most or 0) > cut:
+            hot = counts.where(F.col(n) > cut).select(*key, F.ceil(F.col(n) / cut).cast("int").alias("_parts"))
+            rows = hot.collect()  # at most HOT_SHARE
+            self.parts = F.broadcast(counts.sparkSession.createDataFrame(rows, hot.schema))
+
+    def _with_parts(self, df: DataFrame, key: list[str]) -> DataFrame:
+        cond = [df[a].eqNullSafe(self.parts[b]) for a, b in zip(key, self.key, strict=True)]
+        return df.join(self.parts, reduce(lambda x, y: x & y, cond), "left").select(*[df[c] for c in df.columns], F.coalesce("_parts", F.lit(1)).alias("_parts"))
+
+    def dealt(self, rows: DataFrame, by: list[str], key: list[str] | None = None, salt: str = "_salt") -> DataFrame:
+        """rows with a salt by which the rows of a hot key are dealt; by: columns that tell a key's rows apart."""
+        if self.parts is None:
+            return rows.withColumn(salt, F.lit(0))
+        return self._with_parts(rows, key or self.key).withColumn(salt, F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int")).drop("_parts")
+
+    def copies(self, unique: DataFrame, key: list[str] | None = None, salt: str = "_salt") -> DataFrame:
+        """The other side of the join: each row of a hot key once for every salt."""
+        if self.parts is None:
+            return unique.withColumn(salt, F.lit(0))
+        return self._with_parts(unique, key or self.key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def join(self, rows: DataFrame, unique: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+        """rows join unique on the key."""
+        return self.dealt(rows, by).join(self.copies(unique), [*self.key, "_salt"], how).drop("_salt")
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else as the hashed side of a shuffled join; df should be materialized.
 
