@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,35 +66,44 @@ class Hot:
     reach the driver. counts is read twice, so it should be materialized.
     """
 
-    def __init__(self, counts: DataFrame, key: list[str], n: str = "n"):
+    def __init__(self, counts: DataFrame, key: list[str], n: str = "n", also: Column | None = None):
+        """also: a further aggregate of counts, taken in the same pass."""
         self.key = key
-        total, most = counts.agg(F.sum(n), F.max(n)).first()
+        total, most, self.also = counts.agg(F.sum(n), F.max(n), F.lit(None) if also is None else also).first()
         cut = max(LEAST_HOT, (total or 0) // HOT_SHARE)
         self.parts = None
         if (most or 0) > cut:
-            hot = counts.where(F.col(n) > cut).select(*key, F.ceil(F.col(n) / cut).cast("int").alias("_parts"))
-            rows = hot.collect()  # at most HOT_SHARE
-            self.parts = F.broadcast(counts.sparkSession.createDataFrame(rows, hot.schema))
+            hot = counts.where(F.col(n) > cut).select(self.one(key).alias("_hot"), F.ceil(F.col(n) / cut).cast("int").alias("_parts"))
+            rows = hot.groupBy("_hot").agg(F.max("_parts").alias("_parts")).collect()  # at most HOT_SHARE
+            self.parts = F.broadcast(counts.sparkSession.createDataFrame(rows, "_hot long, _parts int"))
+
+    @staticmethod
+    def one(key: list[str]) -> Column:
+        """One number for the key: broadcast tables of a single long are the small kind. Keys that share a number share parts."""
+        return F.xxhash64(*key)
 
     def _with_parts(self, df: DataFrame, key: list[str]) -> DataFrame:
-        cond = [df[a].eqNullSafe(self.parts[b]) for a, b in zip(key, self.key, strict=True)]
-        return df.join(self.parts, reduce(lambda x, y: x & y, cond), "left").select(*[df[c] for c in df.columns], F.coalesce("_parts", F.lit(1)).alias("_parts"))
+        return df.join(self.parts, self.one(key) == F.col("_hot"), "left").select(*[df[c] for c in df.columns], F.coalesce("_parts", F.lit(1)).alias("_parts"))
 
     def dealt(self, rows: DataFrame, by: list[str], key: list[str] | None = None, salt: str = "_salt") -> DataFrame:
-        """rows with a salt by which the rows of a hot key are dealt; by: columns that tell a key's rows apart."""
+        """rows with a salt by which the rows of a hot key are dealt, if any is; by: columns that tell a key's rows apart."""
         if self.parts is None:
-            return rows.withColumn(salt, F.lit(0))
+            return rows
         return self._with_parts(rows, key or self.key).withColumn(salt, F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int")).drop("_parts")
 
     def copies(self, unique: DataFrame, key: list[str] | None = None, salt: str = "_salt") -> DataFrame:
         """The other side of the join: each row of a hot key once for every salt."""
         if self.parts is None:
-            return unique.withColumn(salt, F.lit(0))
+            return unique
         return self._with_parts(unique, key or self.key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
+    def on(self, key: list[str], salt: str = "_salt") -> list[str]:
+        """The columns to join dealt rows and copies on."""
+        return key if self.parts is None else [*key, salt]
+
     def join(self, rows: DataFrame, unique: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
         """rows join unique on the key."""
-        return self.dealt(rows, by).join(self.copies(unique), [*self.key, "_salt"], how).drop("_salt")
+        return self.dealt(rows, by).join(self.copies(unique), self.on(self.key), how).drop("_salt")
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

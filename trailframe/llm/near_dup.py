@@ -36,7 +36,7 @@ WORDS = 5
 CANDIDATES_BROADCAST = 500_000
 #: Hub rounds stop when this many pairs per node are left in all buckets, when a round leaves more than this share of
 #: them, or after HUB_ROUNDS.
-PAIRS_PER_NODE, WORTH_A_ROUND, HUB_ROUNDS = 1, 0.7, 5
+PAIRS_PER_NODE, WORTH_A_ROUND, HUB_ROUNDS = 1, 0.7, 3
 #: Buckets above this size are finished in blocks of so many nodes, without making pairs.
 SMALL_BUCKET, BLOCK = 24, 256
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -172,24 +172,24 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def shingled(docs: DataFrame, ids: DataFrame, scheme: Scheme) -> DataFrame:
-    """(node, set, marks): the sorted shingle hashes of the documents in ids (_id) and 16 bits of each coordinate of their sketches.
+def shingled(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(node, set): the sorted shingle hashes of the documents in ids (_id), which should be materialized.
 
-    A document has one row for each of its different texts. The ids are broadcast while they are few, so that only their texts are read on.
+    A document has one row for each of its different texts; repeated says whether an id may have several rows. The ids
+    are broadcast while they are few, so that only their texts are read on.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingles(b.column(1).to_pylist())
-            marks = (sketch(sets, scheme.size) & np.uint64(0xFFFF)).astype(np.uint16)
             values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "set", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "set"])
 
-    few = small_or_shuffled(checkpointed(ids), CANDIDATES_BROADCAST)
+    few = small_or_shuffled(ids, CANDIDATES_BROADCAST)
     some = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, F.col("node") == F.col("_id"), "left_semi")
-    made = map_arrow(some, work, "node long, set array<long>, marks binary").where("size(set) > 0")
-    return made.groupBy("node", F.xxhash64("set").alias("_h")).agg(F.first("set").alias("set"), F.first("marks").alias("marks")).drop("_h")
+    made = map_arrow(some, work, "node long, set array<long>").where("size(set) > 0")
+    return made.groupBy("node", F.xxhash64("set").alias("_h")).agg(F.first("set").alias("set")).drop("_h") if repeated else made
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
@@ -206,10 +206,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             fine = [similar(x, y, percent) for x, y in zip(lists(batch.column(2)), lists(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.bool_())], names=["a", "b", "linked"])
 
-    hot = Hot(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))), ["node"])
-    end = lambda k: hot.copies(sets.select("node", "set"), salt=f"salt_{k}").select(F.col("node").alias(k), f"salt_{k}", F.col("set").alias(f"set_{k}"))
+    hot = Hot(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), ["node"])
+    end = lambda k: hot.copies(sets.select("node", "set"), salt=f"salt_{k}").withColumnsRenamed({"node": k, "set": f"set_{k}"})
     dealt = hot.dealt(hot.dealt(pairs, ["b"], ["a"], "salt_a"), ["a"], ["b"], "salt_b")
-    joined = dealt.join(end("a"), ["a", "salt_a"]).join(end("b"), ["b", "salt_b"]).select("a", "b", "set_a", "set_b")
+    joined = dealt.join(end("a"), hot.on(["a"], "salt_a")).join(end("b"), hot.on(["b"], "salt_b")).select("a", "b", "set_a", "set_b")
     return map_arrow(joined, work, "a long, b long, linked boolean")
 
 
@@ -255,7 +255,7 @@ def block_links(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFram
         table = table.take(pa.array(np.argsort(np.array(table.column("block")) != one, kind="stable")))
         node, root, block = (table.column(c).to_numpy().copy() for c in ("node", "root", "block"))
         sets = lists(table.column("set").combine_chunks())
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint16).reshape(len(node), -1)
+        marks = (sketch(sets, scheme.size) & np.uint64(0xFFFF)).astype(np.uint16)
         sizes, out = np.array([len(s) for s in sets]), []
         ends = len(node) if one == two else int((block == one).sum())
         for k in range(ends):
@@ -268,25 +268,27 @@ def block_links(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFram
                     out.append((min(node[k], node[m]), max(node[k], node[m])))
         return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
 
-    return checkpointed(full.select("cluster", "i", "j", "block", "node", "root", "set", "marks").groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
+    return checkpointed(full.select("cluster", "i", "j", "block", "node", "root", "set").groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for the nodes of edges (a, b); alternating large-star and small-star steps.
 
-    Both steps deal the edges by one end only, a hub's edges over several tasks; each result is kept before it is used
-    twice, and edges lead from larger to smaller nodes, so when each component is a star its root is the least node.
+    Both steps deal the edges by one end only, the larger one a hub's edges over several tasks (the smaller one sees a
+    node's few smaller neighbours); each result is kept before it is used twice, and edges lead from larger to smaller
+    nodes, so when each component is a star its root is the least node.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ends = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        if not ends.where("m < a AND n > 1").limit(1).count():  # each node with a smaller neighbour has no other
+        hot = Hot(ends, ["a"], also=F.count_if(F.expr("m < a AND n > 1")))
+        if not hot.also:  # each node with a smaller neighbour has no other
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         least = ends.select("a", F.least("a", "m").alias("m"))
-        large = checkpointed(Hot(ends, ["a"]).join(both, least, ["b"]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        small = Hot(least, ["a"]).join(large, least.select("a", "m"), ["b"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = checkpointed(hot.join(both, least, ["b"]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = checkpointed(small.distinct())
 
 
@@ -307,12 +309,14 @@ def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
     alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     #: One node for each different set, named by its least document; a document with several texts may name several.
     nodes = checkpointed(alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
-    same_set, links = Hot(nodes, ["h1", "h2"]), same_document(alike, nodes)
+    same_set, repeated = Hot(nodes, ["h1", "h2"]), checkpointed(repeated_ids(alike))
+    again = repeated.first() is not None
+    links = same_document(alike, nodes, repeated) if again else docs.sparkSession.createDataFrame([], "a long, b long")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     crowded = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     buckets = checkpointed(Hot(crowded, ["key"]).join(keyed, crowded.select("key"), ["node"]))
     candidates = checkpointed(buckets.select(F.col("node").alias("_id")).distinct())
-    few, full = PAIRS_PER_NODE * candidates.count(), checkpointed(shingled(docs, candidates, scheme))
+    few, full = PAIRS_PER_NODE * candidates.count(), checkpointed(shingled(docs, candidates, again))
     checked = roots = before = None
     for hub_round in range(HUB_ROUNDS + 1):
         now = buckets.withColumn("root", F.col("node")) if roots is None else checkpointed(relabelled(buckets, roots, "node", "root"))
@@ -350,13 +354,16 @@ def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return checkpointed(out.unionAll(lone)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def same_document(alike: DataFrame, nodes: DataFrame) -> DataFrame:
+def repeated_ids(alike: DataFrame) -> DataFrame:
+    """(doc_id, n, several): the ids that stand in several rows, and whether their sets differ."""
+    found = alike.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y"))
+    return found.where("n > 1").select("doc_id", "n", (F.col("x") != F.col("y")).alias("several"))
+
+
+def same_document(alike: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
     """Links (a, b) between the sets of documents that have several."""
-    several = checkpointed(alike.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("doc_id", "n"))
-    if not several.limit(1).count():
-        return alike.sparkSession.createDataFrame([], "a long, b long")
-    by_doc = Hot(several, ["doc_id"])
-    rows = checkpointed(by_doc.join(alike.select("doc_id", "h1", "h2"), several.select("doc_id"), ["h1"]))
+    by_doc, several = Hot(repeated, ["doc_id"]), repeated.where("several").select("doc_id")
+    rows = checkpointed(by_doc.join(alike.select("doc_id", "h1", "h2"), several, ["h1"]))
     own = checkpointed(Hot(nodes, ["h1", "h2"]).join(rows, nodes.select("h1", "h2", "node"), ["doc_id"]).select("doc_id", "node").distinct())
     least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
     return checkpointed(by_doc.join(own, least, ["node"]).select(F.col("node").alias("a"), "b"))
