@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
-from trailframe.llm import bpe, common, flac, line_crf, line_dedup, media, near_dup, packing, pii, quality_rules, sharding, url_filter
+from trailframe.llm import bpe, flac, line_crf, line_dedup, media, near_dup, packing, pii, quality_rules, sharding, url_filter
 from trailframe.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -171,38 +171,13 @@ def test_near_dup_hot_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
 
 
-def test_near_dup_repeated_ids_and_hot_keys(spark, monkeypatch):
-    """A doc_id with several texts is one document with the links of all; joins with every key hot give the same."""
+def test_near_dup_repeated_ids(spark):
+    """A doc_id with several texts is one document with the links of all."""
     text = lambda k: " ".join(f"{k}{i}" for i in range(40))
-    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " y"), (4, text("c")), (4, ""), (5, text("c")), (5, text("d")), (6, text("d") + " z"), (6, text("e")), (7, text("f"))]
-    rows += [(100 + i, text("g") + f" v{i % 7}") for i in range(60)]
-    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7} | {100 + i: 100 for i in range(60)}
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_dup.grouped(frame).collect()
-    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
-    monkeypatch.setattr(common, "LEAST_HOT", 1)
-    monkeypatch.setattr(near_dup, "SMALL_BUCKET", 1)
-    monkeypatch.setattr(near_dup, "HUB_ROUNDS", 0)
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
-    assert {r.doc_id: r.component_id for r in near_dup.grouped(frame).collect()} == want
-
-
-def test_block_tasks_grow_linearly_and_cover(spark, monkeypatch):
-    """Few nodes outside the largest root: rows in proportion to the nodes. All pairs of different roots meet once."""
-    monkeypatch.setattr(near_dup, "BLOCK", 256)
-    counts = {}
-    for n in (1_000, 5_000):
-        members = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.when(F.col("id") < 40, F.col("id")).otherwise(50).alias("root"))
-        counts[n] = near_dup.block_tasks(members).count()
-    assert counts[5_000] <= 5.5 * counts[1_000] and counts[5_000] < 2 * 5_000
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    root = {i: i % 3 if i < 90 else i for i in range(120)}
-    members = spark.createDataFrame([(i // 80, i, root[i]) for i in range(120)] + [(1, 0, 0)], "key long, node long, root long")
-    tasks = {}
-    for r in near_dup.block_tasks(members).collect():
-        tasks.setdefault((r.cluster, r.i, r.j), []).append((r.block, r.node))
-    met = [tuple(sorted((x, y))) for (_, i, j), rows in tasks.items() for b, x in rows if b == i for c, y in rows if c == j and (i != j or x < y) and root[x] != root[y]]
-    assert sorted(met) == [(x, y) for x in range(120) for y in range(x + 1, 120) if root[x] != root[y]] and max(map(len, tasks.values())) <= 16
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " y"), (4, text("c")), (5, text("c")), (5, text("d")), (6, text("d") + " z"), (6, text("e")), (7, text("f"))]
+    rows += [(8, text("g")), (9, text("g")), (9, text("h")), (10, text("h"))]
+    got = near_dup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 8}
 
 
 def test_near_dup_many_variants(spark):
@@ -357,6 +332,9 @@ def test_line_dedup_odd(odd, none):
         by.setdefault(r.doc_id, []).append(r.text)
     assert by[6] == ["one\ntwo\nthree\nfour"] and by[7] == ["zero", "zero"] and by[2] == [None] and by[3] == [""] and by[None] == ["one\ntwo\nthree"] and by[1] == [ODD[0][1]] and by[5] == [""]
     assert line_dedup.deduplicated(none).count() == 0
+    clash = odd.withColumns({c: F.lit("extra") for c in ("_n_lines", "_n_removed", "_own", "_listed", "h", "a", "b", "at", "salt")})
+    kept = line_dedup.deduplicated(clash)
+    assert kept.columns == [*clash.columns, "_n_lines_", "_n_removed_"] and sorted(str(r.text) for r in kept.collect()) == sorted(str(t) for x in by.values() for t in x)
 
 
 def test_shuffled_ways_give_the_same(docs, odd, monkeypatch):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_or_shuffled
+from .common import checkpointed, fresh, small_or_shuffled
 
 
 WINDOW, SALTS = 3, 16
@@ -53,14 +53,14 @@ def kept_text(text: Column, gone: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the remaining text, and the numbers of lines and of removed lines in _n_lines and _n_removed."""
+    """docs with the remaining text, and the numbers of lines and of removed lines in _n_lines and _n_removed (with underscores while docs has such a column)."""
     gone = small_or_shuffled(checkpointed(removals(docs)), MOST_BROADCAST)
     joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
     size = F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n")))
     text = F.when(gone["_gone"].isNull() | docs["text"].isNull(), docs["text"]).otherwise(kept_text(docs["text"], gone["_gone"]))
     removed = F.coalesce(F.size(F.filter(gone["_gone"], lambda i: i < size)), F.lit(0))
     removed = F.when(gone["_gone"].isNull(), F.lit(0)).otherwise(removed)
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], size.cast("long").alias("_n_lines"), removed.cast("long").alias("_n_removed"))
+    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], size.cast("long").alias(fresh("_n_lines", docs.columns)), removed.cast("long").alias(fresh("_n_removed", docs.columns)))
 
 
 ORACLE_CTE = """

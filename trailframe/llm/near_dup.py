@@ -8,13 +8,12 @@ near the set's size. Bands of coordinates find candidates: a pair at the bound i
 Links are confirmed on the full sets. Groups need connectivity only, so a hot bucket never yields all its pairs: equal
 sets are one node, each bucket links its members to a hub, and joined groups count as one from then on. What is left
 between groups is checked exhaustively: pair by pair in small buckets, and for large ones, merged where they overlap,
-block against block inside tasks of bounded size, which give only links that join two groups; members of the largest
-group are compared with the others only. A pair in a block is compared in full unless its sketches already exclude the
-similarity. Groups are found by star contraction on DataFrames. Joins deal hot sets, buckets and hubs by their counts.
+block against block inside tasks of bounded size, which give only links that join two groups. A pair in a block is
+compared in full unless its sketches already exclude the similarity. Groups are found by star contraction on DataFrames.
 
 Null text, empty text and texts without a word are empty sets, linked with nothing; rows without doc_id likewise. Texts with fewer than five words
-are one shingle. Rows that repeat a doc_id count as one document, with the links of all its texts (an empty one of them
-stays by itself). Other columns are not read.
+are one shingle. Rows that repeat a doc_id count as one document with the links of all its texts. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,14 +28,15 @@ from pyspark.sql import functions as F
 
 from trailframe.plans.shipping import shipped
 
-from .common import Hot, checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled, spread
+from .common import checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled, spread
 
 WORDS = 5
 #: Ids of candidates up to which they are broadcast (8 bytes each) to filter the texts; more are joined by shuffle.
 CANDIDATES_BROADCAST = 500_000
-#: Hub rounds stop when this many pairs per node are left in all buckets, when a round leaves more than this share of
-#: them, or after HUB_ROUNDS.
-PAIRS_PER_NODE, WORTH_A_ROUND, HUB_ROUNDS = 1, 0.7, 3
+#: Parts into which the copies of one set are dealt.
+SALTS = 16
+#: Hub rounds stop when this many pairs per node are left in all buckets, or after HUB_ROUNDS.
+PAIRS_PER_NODE, HUB_ROUNDS = 1, 2
 #: Buckets above this size are finished in blocks of so many nodes, without making pairs.
 SMALL_BUCKET, BLOCK = 24, 256
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -172,89 +172,56 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def shingled(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
-    """(node, set): the sorted shingle hashes of the documents in ids (_id), which should be materialized.
-
-    A document has one row for each of its different texts; repeated says whether an id may have several rows. The ids
-    are broadcast while they are few, so that only their texts are read on.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingles(b.column(1).to_pylist())
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "set"])
-
-    few = small_or_shuffled(ids, CANDIDATES_BROADCAST)
-    some = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(few, F.col("node") == F.col("_id"), "left_semi")
-    made = map_arrow(some, work, "node long, set array<long>").where("size(set) > 0")
-    return made.groupBy("node", F.xxhash64("set").alias("_h")).agg(F.first("set").alias("set")).drop("_h") if repeated else made
-
-
-def lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of an Arrow column of hashes as arrays."""
-    ends, values = np.array(column.offsets), np.array(column.values).view(np.uint64)
-    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_doc, text) of the documents in ids (_id), once each; the ids are broadcast while they are few, so that only their texts move."""
+    few = small_or_shuffled(checkpointed(ids), CANDIDATES_BROADCAST)
+    return docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(few, F.col("_doc") == F.col("_id"), "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) and whether their full sets are similar enough. The sets of both are joined to each pair; ends with many pairs are dealt."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) and whether their full sets are similar enough, once for each text of either. The texts of both are joined to each pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = [similar(x, y, percent) for x, y in zip(lists(batch.column(2)), lists(batch.column(3)), strict=True)]
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts = [*dict.fromkeys([*a, *b])]
+            sets = dict(zip(texts, shingles(texts), strict=True))
+            fine = [similar(sets[x], sets[y], percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.bool_())], names=["a", "b", "linked"])
 
-    hot = Hot(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), ["node"])
-    end = lambda k: hot.copies(sets.select("node", "set"), salt=f"salt_{k}").withColumnsRenamed({"node": k, "set": f"set_{k}"})
-    dealt = hot.dealt(hot.dealt(pairs, ["b"], ["a"], "salt_a"), ["a"], ["b"], "salt_b")
-    joined = dealt.join(end("a"), hot.on(["a"], "salt_a")).join(end("b"), hot.on(["b"], "salt_b")).select("a", "b", "set_a", "set_b")
+    some = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    text = lambda k: some.select(F.col("_doc").alias(k), F.col("text").alias(f"text_{k}"))
+    joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     return map_arrow(joined, work, "a long, b long, linked boolean")
 
 
-def block_tasks(members: DataFrame) -> DataFrame:
-    """(cluster, i, j, block, node, root) for the nodes of members (key, node, root) of large buckets.
+def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) that join different roots among the members (key, node, root) of large buckets.
 
-    Buckets that share nodes are one cluster. Its nodes outside the cluster's most frequent root are compared with
-    each other and with the nodes inside it, block i against block j in a task; nodes inside it are never compared, so
-    the rows grow with the number of nodes while those outside are few. Blocks of nodes inside have negative numbers.
+    Buckets that share nodes are one cluster; its nodes are numbered into blocks, and each pair of blocks is a task.
     """
-    star = members.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
-    star = checkpointed(star)
-    clusters = components(Hot(star, ["key"]).join(members, star, ["node"]).select(F.col("node").alias("a"), "b"))
-    nodes = checkpointed(relabelled(members.select("node", "root").distinct(), clusters, "node", "cluster"))
-    sizes = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    top = checkpointed(sizes.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.sum("n").alias("n")))
-    marked = Hot(top, ["cluster"]).join(nodes, top.select("cluster", "top"), ["node"]).withColumn("inside", F.col("root") == F.col("top"))
-    marked = checkpointed(marked.select("cluster", "inside", "node", "root"))
-    placed = numbered(marked, ["cluster", "inside"], ["node", "root"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
-    placed = checkpointed(placed)
-    last = F.max(F.when(~F.col("inside"), F.col("block")))
-    count = checkpointed(placed.groupBy("cluster").agg(last.alias("last"), F.max(F.when(F.col("inside"), F.col("block"))).alias("last_in"), F.count(F.lit(1)).alias("n")))
-    each = Hot(count, ["cluster"]).join(placed, count.drop("n"), ["node"]).where("last IS NOT NULL")
-    others = F.sequence(F.lit(0), F.col("last"))
-    inner = F.when(F.col("last_in").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("last_in")), lambda x: -x - 1)).otherwise(F.array().cast("array<int>"))
-    dealt = each.withColumn("other", F.explode(F.when(F.col("inside"), others).otherwise(F.concat(others, inner))))
-    own = F.when(F.col("inside"), -F.col("block") - 1).otherwise(F.col("block"))
-    return dealt.select("cluster", F.greatest(own, "other").alias("i"), F.least(own, "other").alias("j"), own.alias("block"), "node", "root")
-
-
-def block_links(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) that join different roots among the members (key, node, root) of large buckets, made in block_tasks()."""
+    nothing = docs.sparkSession.createDataFrame([], "a long, b long")
     if not members.limit(1).count():
-        return members.sparkSession.createDataFrame([], "a long, b long")
-    dealt = checkpointed(block_tasks(members))
-    hot = Hot(checkpointed(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("n"))), ["node"])
-    full = hot.join(dealt, sets, ["i", "j"])
+        return nothing
+    star = members.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = components(members.join(star, "key").select(F.col("node").alias("a"), "b"))
+    nodes = relabelled(members.select("node", "root").distinct(), clusters, "node", "cluster")
+    nodes = checkpointed(nodes)
+    placed = numbered(nodes, ["cluster"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
+    count = placed.groupBy("cluster").agg(F.max("block").alias("last"))
+    some = texts_of(docs, nodes.select(F.col("node").alias("_id"))).withColumnRenamed("_doc", "node")
+    full = checkpointed(placed.join(count, "cluster").join(some, "node").dropDuplicates(["node", "text"]))
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "text")
+
     least, percent = scheme.least_equal, scheme.percent
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        block, node = np.array(table.column("block")), np.array(table.column("node"))
         one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        table = table.take(pa.array(np.argsort(np.array(table.column("block")) != one, kind="stable")))
-        node, root, block = (table.column(c).to_numpy().copy() for c in ("node", "root", "block"))
-        sets = lists(table.column("set").combine_chunks())
+        order = np.lexsort((node, block))
+        sets = shingles([table.column("text")[int(k)].as_py() for k in order])
+        node, root, block = node[order], np.array(table.column("root"))[order], block[order]
         marks = (sketch(sets, scheme.size) & np.uint64(0xFFFF)).astype(np.uint16)
         sizes, out = np.array([len(s) for s in sets]), []
         ends = len(node) if one == two else int((block == one).sum())
@@ -268,28 +235,32 @@ def block_links(members: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFram
                     out.append((min(node[k], node[m]), max(node[k], node[m])))
         return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
 
-    return checkpointed(full.select("cluster", "i", "j", "block", "node", "root", "set").groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
+    return checkpointed(dealt.groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node a has one edge (a, b) and no b has an edge of its own."""
+    roots = edges.select(F.col("b").alias("_b")).distinct()
+    if edges.join(roots, edges["a"] == roots["_b"], "left_semi").limit(1).count():
+        return False
+    return not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for the nodes of edges (a, b); alternating large-star and small-star steps.
 
-    Both steps deal the edges by one end only, the larger one a hub's edges over several tasks (the smaller one sees a
-    node's few smaller neighbours); each result is kept before it is used twice, and edges lead from larger to smaller
-    nodes, so when each component is a star its root is the least node.
+    Both steps deal the edges by one end only, each result is kept before it is used twice, and edges lead from larger
+    to smaller nodes, so when each component is a star its root is the least node.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    while not is_star_forest(edges):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        hot = Hot(ends, ["a"], also=F.count_if(F.expr("m < a AND n > 1")))
-        if not hot.also:  # each node with a smaller neighbour has no other
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        least = ends.select("a", F.least("a", "m").alias("m"))
-        large = checkpointed(hot.join(both, least, ["b"]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = checkpointed(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = checkpointed(small.distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def relabelled(rows: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
@@ -307,66 +278,53 @@ def grouped(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
 def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
     sets = checkpointed(sketched(docs, scheme))
     alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    #: One node for each different set, named by its least document; a document with several texts may name several.
-    nodes = checkpointed(alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
-    same_set, repeated = Hot(nodes, ["h1", "h2"]), checkpointed(repeated_ids(alike))
-    again = repeated.first() is not None
-    links = same_document(alike, nodes, repeated) if again else docs.sparkSession.createDataFrame([], "a long, b long")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    buckets = checkpointed(Hot(crowded, ["key"]).join(keyed, crowded.select("key"), ["node"]))
-    candidates = checkpointed(buckets.select(F.col("node").alias("_id")).distinct())
-    few, full = PAIRS_PER_NODE * candidates.count(), checkpointed(shingled(docs, candidates, again))
-    checked = roots = before = None
+    nodes = alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    salted = nodes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = alike.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = checkpointed(dealt.join(salted, ["h1", "h2", "salt"]).where("doc_id <> node").select("doc_id", "node", "h1", "h2").distinct())
+    own = ["doc_id", "h1", "h2"]
+    lone = checkpointed(alike.select(*own, "bands").join(copies.select(*own), own, "left_anti").dropDuplicates(own))
+    # A document with several texts joins the groups of all of them.
+    copied = checkpointed(copies.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
+    several = copied.where("other <> node").select("doc_id").unionAll(copied.join(lone, "doc_id", "left_semi").select("doc_id")).distinct()
+    same = checkpointed(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    keyed = lone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = checkpointed(keyed.join(crowded, "key"))
+    nodes_left = buckets.select("node").distinct().count()
+    checked, links = None, same if same.limit(1).count() else None
+    roots = None if links is None else components(links)
     for hub_round in range(HUB_ROUNDS + 1):
         now = buckets.withColumn("root", F.col("node")) if roots is None else checkpointed(relabelled(buckets, roots, "node", "root"))
         size = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(hub_round)), "node"))["node"].alias("hub"))
-        head = size.groupBy("key").agg(F.max(F.struct("size", "root", "hub")).alias("top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        active = checkpointed(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), F.col("top.size").alias("size"), "n"))
-        rest = active.agg(F.sum(F.expr("n * (n - size)"))).first()[0] or 0
+        head = size.groupBy("key").agg(F.max(F.struct("size", "root", "hub")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        active = checkpointed(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), "all"))
+        rest = active.join(size, "key").agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("size") * F.col("all")))).first()[0] or 0
         if not rest:
             break
-        last = rest <= few or hub_round == HUB_ROUNDS or (before is not None and rest > before * WORTH_A_ROUND)
-        hot, before = Hot(active, ["key"]), rest
+        last = rest <= PAIRS_PER_NODE * nodes_left or hub_round == HUB_ROUNDS
         if last:
-            small = checkpointed(now.join(active.where(F.col("n") <= SMALL_BUCKET).select("key", "top"), "key"))
+            small = now.join(active.where(F.col("all") <= SMALL_BUCKET).select("key", "top"), "key")
             x, y = small.where("root <> top").select("key", F.col("node").alias("x"), F.col("root").alias("xr")), small.select("key", F.col("node").alias("y"), F.col("root").alias("yr"))
             pairs = x.join(y, "key").where("xr <> yr")
         else:
-            pairs = hot.join(now, active.select("key", "top", "hub"), ["node"]).where("root <> top").select(F.col("node").alias("x"), F.col("hub").alias("y"))
+            pairs = now.join(active, "key").where("root <> top").select(F.col("node").alias("x"), F.col("hub").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = checkpointed(verified(checkpointed(pairs), full, scheme.percent))
+        found = checkpointed(verified(checkpointed(pairs), docs, scheme.percent))
         checked = found.select("a", "b") if checked is None else checked.unionAll(found.select("a", "b"))
-        links = links.unionAll(found.where("linked").select("a", "b"))
+        fresh = found.where("linked").select("a", "b")
+        links = fresh if links is None else links.unionAll(fresh)
         if last:
-            large = active.where(F.col("n") > SMALL_BUCKET)
-            links = links.unionAll(block_links(checkpointed(hot.join(now, large.select("key"), ["node"])), full, scheme))
+            hot = now.join(active.where(F.col("all") > SMALL_BUCKET).select("key"), "key")
+            links = links.unionAll(block_links(checkpointed(hot), docs, scheme))
         roots = components(links)
         if last:
             break
-    if roots is None:
-        roots = components(links)
-    named = relabelled(nodes.select("h1", "h2", "node"), roots, "node", "component_id").select("h1", "h2", "component_id")
-    out = same_set.join(alike.select("doc_id", "n_shingles", "h1", "h2"), named, ["doc_id"]).select("doc_id", "n_shingles", "component_id")
-    lone = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return checkpointed(out.unionAll(lone)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def repeated_ids(alike: DataFrame) -> DataFrame:
-    """(doc_id, n, several): the ids that stand in several rows, and whether their sets differ."""
-    found = alike.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y"))
-    return found.where("n > 1").select("doc_id", "n", (F.col("x") != F.col("y")).alias("several"))
-
-
-def same_document(alike: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of documents that have several."""
-    by_doc, several = Hot(repeated, ["doc_id"]), repeated.where("several").select("doc_id")
-    rows = checkpointed(by_doc.join(alike.select("doc_id", "h1", "h2"), several, ["h1"]))
-    own = checkpointed(Hot(nodes, ["h1", "h2"]).join(rows, nodes.select("h1", "h2", "node"), ["doc_id"]).select("doc_id", "node").distinct())
-    least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
-    return checkpointed(by_doc.join(own, least, ["node"]).select(F.col("node").alias("a"), "b"))
+    out = relabelled(sets.select("doc_id", "n_shingles"), copied.select(F.col("doc_id").alias("node"), F.col("node").alias("root")), "doc_id", "_node")
+    out = out.withColumn("component_id", F.col("_node")) if roots is None else relabelled(out, roots, "_node", "component_id")
+    return checkpointed(out.select("doc_id", "n_shingles", "component_id")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
