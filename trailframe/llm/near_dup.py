@@ -284,16 +284,17 @@ def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
     copies = checkpointed(dealt.join(salted, ["h1", "h2", "salt"]).where("doc_id <> node").select("doc_id", "node", "h1", "h2").distinct())
     own = ["doc_id", "h1", "h2"]
     lone = checkpointed(alike.select(*own, "bands").join(copies.select(*own), own, "left_anti").dropDuplicates(own))
-    # A document with several texts joins the groups of all of them.
-    copied = checkpointed(copies.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
-    several = copied.where("other <> node").select("doc_id").unionAll(copied.join(lone, "doc_id", "left_semi").select("doc_id")).distinct()
-    same = checkpointed(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    copied = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
+    # A document with several texts joins the groups of all of them. Most corpora have none, so their empty join is not run.
+    several = checkpointed(alike.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("doc_id"))
+    links = None
+    if several.limit(1).count():
+        links = checkpointed(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     keyed = lone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = checkpointed(keyed.join(crowded, "key"))
     nodes_left = buckets.select("node").distinct().count()
-    checked, links = None, same if same.limit(1).count() else None
-    roots = None if links is None else components(links)
+    checked, roots = None, None if links is None else components(links)
     for hub_round in range(HUB_ROUNDS + 1):
         now = buckets.withColumn("root", F.col("node")) if roots is None else checkpointed(relabelled(buckets, roots, "node", "root"))
         size = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(hub_round)), "node"))["node"].alias("hub"))
