@@ -240,10 +240,10 @@ def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFram
 
 def is_star_forest(edges: DataFrame) -> bool:
     """Whether each node a has one edge (a, b) and no b has an edge of its own."""
-    roots = edges.select(F.col("b").alias("_b")).distinct()
-    if edges.join(roots, edges["a"] == roots["_b"], "left_semi").limit(1).count():
-        return False
-    return not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionAll(edges.select(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    degrees = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not degrees.agg(F.max(F.col("out") + F.when(F.col("out") > 0, F.col("into")).otherwise(0)) > 1).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
