@@ -240,8 +240,8 @@ def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFram
 
 def is_star_forest(edges: DataFrame) -> bool:
     """Whether each node a has one edge (a, b) and no b has an edge of its own."""
-    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into"))
-    ends = ends.unionAll(edges.select(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    end = lambda v, out: F.struct(F.col(v).alias("v"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
+    ends = edges.select(F.explode(F.array(end("a", 1), end("b", 0))).alias("e")).select("e.*")
     degrees = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
     return not degrees.agg(F.max(F.col("out") + F.when(F.col("out") > 0, F.col("into")).otherwise(0)) > 1).first()[0]
 
@@ -254,7 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not is_star_forest(edges):
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = checkpointed(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -298,7 +299,7 @@ def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
     for hub_round in range(HUB_ROUNDS + 1):
         now = buckets.withColumn("root", F.col("node")) if roots is None else checkpointed(relabelled(buckets, roots, "node", "root"))
         size = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(hub_round)), "node"))["node"].alias("hub"))
-        head = size.groupBy("key").agg(F.max(F.struct("size", "root", "hub")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        head = size.groupBy("key").agg(F.min(F.struct(-F.col("size"), "root", "hub")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
         active = checkpointed(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), "all"))
         rest = active.join(size, "key").agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("size") * F.col("all")))).first()[0] or 0
         if not rest:
