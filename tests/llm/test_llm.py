@@ -442,11 +442,15 @@ def test_cascade_is_exact(spark, monkeypatch):
     listed = universe.where("key LIKE '%7'").unionAll(spark.createDataFrame([(None,), ("k7",)], "key string"))
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, so several levels
     cascade = url_filter.Cascade(listed, universe)
-    assert len(cascade.levels) > 2
+    assert len(cascade.parts) == 1 and len(cascade.parts[0]) > 2
     marked = cascade.mark(universe, "key", "hit").collect()
     assert all(r.hit == r.key.endswith("7") for r in marked)
-    monkeypatch.setattr(url_filter, "MAX_BITS", 1)
-    assert all(r.hit == r.key.endswith("7") for r in url_filter.Cascade(listed, universe).mark(universe, "key", "hit").collect())
+    monkeypatch.setattr(url_filter, "MAX_BITS", 400)
+    split = url_filter.Cascade(listed, universe)
+    odd = universe.unionAll(spark.createDataFrame([(None,), ("k7",)], "key string"))
+    marked = split.mark(odd, "key", "hit").collect()
+    assert len(split.parts) == 3 and all(split.parts) and len(marked) == 3002
+    assert all(r.hit == (r.key or "").endswith("7") for r in marked)
 
 
 def test_pipeline(spark, sf_dir, docs):

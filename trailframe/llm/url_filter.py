@@ -4,14 +4,19 @@ Level 0 encodes the listed keys. Level 1 encodes the keys of the corpus that are
 the listed keys that pass level 1, and so on until a level lets nothing wrong through. Over the complete key universe of
 the corpus the first level that rejects a key then decides exactly: odd levels mean listed. The levels are bit arrays
 made by grouped bit_or and read through scalar subqueries, so pages are judged by an expression without a join.
-The bits grow with the list, not with the corpus; beyond MAX_BITS the list is joined by shuffle instead.
+The bits grow with the list, not with the corpus. A list that needs more than MAX_BITS is split by a hash of the key
+into parts with a cascade each; pages are then read once for each part, and a task holds the bits of one part only.
 
 Null urls, and those without "://", have an empty host and path, fit no rule and are allowed. Null keys in the list are
-ignored, repeated ones count once. Other columns of pages are not read.
+ignored, repeated ones count once. Repeated pages give a row each. Of rules that fit, the longest wins; two rules of one
+length that fit the same url would be equal. Urls may have any length: only their hosts are hashed. Other columns of
+pages are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,40 +68,54 @@ class Level:
         return out
 
 
+def levels(listed: DataFrame, count: int, universe: DataFrame) -> list[Level]:
+    """The levels of one cascade for count distinct listed keys over a universe of distinct keys; none for an empty list."""
+    out: list[Level] = []
+    if not count:
+        return out
+    encode, other = listed, checkpointed(universe.join(F.broadcast(listed) if count <= 50_000 else listed, "key", "left_anti"))
+    while count:
+        if len(out) == MAX_LEVELS:
+            raise RuntimeError("the cascade does not end")
+        level = Level(encode, count, len(out))
+        out.append(level)
+        wrong = checkpointed(other.where(level.has(F.col("key"))))
+        encode, other, count = wrong, encode, wrong.count()
+    return out
+
+
+def contains(cascade: list[Level], key: Column) -> Column:
+    """Whether a key of the universe is listed."""
+    out = F.lit(len(cascade) % 2 == 1)
+    for level in reversed(cascade):
+        out = F.when(level.has(key), out).otherwise(F.lit(level.number % 2 == 1))
+    return out
+
+
 class Cascade:
-    """Exact membership of listed keys over a universe of keys."""
+    """Exact membership of listed keys over a universe of keys, in as many parts as keep each below MAX_BITS."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
         """listed, universe: DataFrames of one column key; nulls and repeats are dropped."""
         listed = checkpointed(listed.where("key IS NOT NULL").distinct())
-        count = listed.count()
-        self.levels: list[Level] = []
-        self.listed = listed
-        self.joined = count * BITS_PER_KEY > MAX_BITS
-        if self.joined or not count:
+        universe, bits = universe.where("key IS NOT NULL").distinct(), listed.count() * BITS_PER_KEY
+        if bits <= MAX_BITS:
+            self.parts = [levels(listed, bits // BITS_PER_KEY, universe)]
             return
-        encode, other = listed, checkpointed(universe.where("key IS NOT NULL").distinct().join(F.broadcast(listed) if count <= 50_000 else listed, "key", "left_anti"))
-        while count:
-            if len(self.levels) == MAX_LEVELS:
-                raise RuntimeError("the cascade does not end")
-            level = Level(encode, count, len(self.levels))
-            self.levels.append(level)
-            wrong = checkpointed(other.where(level.has(F.col("key"))))
-            encode, other, count = wrong, encode, wrong.count()
-
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(self.levels):
-            out = F.when(level.has(key), out).otherwise(F.lit(level.number % 2 == 1))
-        return out
+        self.parts, universe = [None] * -(-2 * bits // MAX_BITS), checkpointed(universe)  # parts half full, as hashing deals unevenly
+        for i in range(len(self.parts)):
+            mine = listed.where(self.part(F.col("key")) == i)
+            self.parts[i] = levels(mine, mine.count(), universe.where(self.part(F.col("key")) == i))
+
+    def part(self, key: Column) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(F.lit(-1), key), F.lit(len(self.parts))), F.lit(0))
 
     def mark(self, df: DataFrame, key: str, out: str) -> DataFrame:
-        """df with a boolean column that says whether its key is listed."""
-        if not self.joined:
-            return df.withColumn(out, F.coalesce(self.contains(F.col(key)), F.lit(False)))
-        hit = self.listed.select(F.col("key").alias("_listed"))
-        return df.join(hit, df[key] == hit["_listed"], "left").withColumn(out, F.col("_listed").isNotNull()).drop("_listed")
+        """df with a boolean column that says whether its key is listed; a null key is not."""
+        hit = lambda rows, cascade: rows.withColumn(out, F.col(key).isNotNull() & contains(cascade, F.col(key)))
+        if len(self.parts) == 1:
+            return hit(df, self.parts[0])
+        return reduce(DataFrame.unionAll, [hit(df.where(self.part(F.col(key)) == i), cascade) for i, cascade in enumerate(self.parts)])
 
 
 def fitting_rule(host_: Column, path_: Column, rules=RULES) -> Column:
