@@ -10,10 +10,13 @@ from ..model import Activities
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """spark.checkpoint.dir; where that is unset a temporary folder in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
