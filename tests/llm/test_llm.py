@@ -159,6 +159,7 @@ def test_near_dup_hot_group(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     monkeypatch.setattr(near_dup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(near_dup, "PAIRS_PER_NODE", 0)
+    monkeypatch.setattr(near_dup, "CHUNK", 8)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +20,8 @@ from trailframe.plans.shipping import shipped
 BATCH_ROWS = 512
 #: Rows up to which a lookup table may be broadcast; beyond it the callers join by shuffle.
 BROADCAST_ROWS = 50_000
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "short_lived_shuffles", "small_or_shuffled", "spread", "utf8_size"]
+__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "small_or_shuffled", "spread", "utf8_size", "working_tables"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +30,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Inside, shuffle files go when the execution that made them ends. For steps that keep each result by a checkpoint."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def working_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that computes a DataFrame once, as a table in the shared folder, and gives the table.
+
+    Unlike a checkpoint, a table is read by column, in splits of the usual size however many tasks wrote it, and its size
+    is known to the planner. All tables go at the end, so what leaves the block must be kept by checkpointed().
+    """
+    folder, number = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}", count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     try:
-        yield
+        yield keep
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

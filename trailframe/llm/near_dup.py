@@ -18,7 +18,7 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from trailframe.plans.shipping import shipped
 
-from .common import checkpointed, map_arrow, numbered, short_lived_shuffles, small_or_shuffled, spread
+from .common import checkpointed, map_arrow, numbered, small_or_shuffled, spread, working_tables
 
 WORDS = 5
 #: Ids of candidates up to which they are broadcast (8 bytes each) to filter the texts; more are joined by shuffle.
@@ -39,6 +39,9 @@ SALTS = 16
 PAIRS_PER_NODE, HUB_ROUNDS = 1, 2
 #: Buckets above this size are finished in blocks of so many nodes, without making pairs.
 SMALL_BUCKET, BLOCK = 24, 256
+#: Pairs of one text that go to one task; the pairs of a text with more are dealt in chunks, and its text is sent once to each.
+CHUNK = 256
+Keep = Callable[[DataFrame], DataFrame]
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -173,13 +176,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(_doc, text) of the documents in ids (_id), once each; the ids are broadcast while they are few, so that only their texts move."""
-    few = small_or_shuffled(checkpointed(ids), CANDIDATES_BROADCAST)
+    """(_doc, text) of the documents in ids (_id, materialized), once each; the ids are broadcast while they are few, so that only their texts move."""
+    few = small_or_shuffled(ids, CANDIDATES_BROADCAST)
     return docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(few, F.col("_doc") == F.col("_id"), "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) and whether their full sets are similar enough, once for each text of either. The texts of both are joined to each pair."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, keep: Keep) -> DataFrame:
+    """The pairs (a, b; materialized) and whether their full sets are similar enough, once for each text of either.
+
+    Each pair goes to the end with more pairs, in chunks of some CHUNK, so a hub's text moves once for each chunk and no
+    task has all pairs of a hub. The text of the other end moves once for each of its pairs; as it has no more pairs
+    than the hub, that is at most the square root of the number of all pairs.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,29 +197,41 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             fine = [similar(sets[x], sets[y], percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fine, pa.bool_())], names=["a", "b", "linked"])
 
-    some = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    text = lambda k: some.select(F.col("_doc").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return map_arrow(joined, work, "a long, b long, linked boolean")
-
-
-def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) that join different roots among the members (key, node, root) of large buckets.
-
-    Buckets that share nodes are one cluster; its nodes are numbered into blocks, and each pair of blocks is a task.
+    ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_pairs")))
+    some = texts_of(docs, ends.select("_id"))
+    hot = ends.where(F.col("_pairs") > CHUNK).select("_id", F.ceil(F.col("_pairs") / CHUNK).cast("int").alias("_chunks"))
+    of = lambda k: hot.select(F.col("_id").alias(k), F.col("_chunks").alias(f"_{k}"))
+    turned = F.coalesce("_b", F.lit(1)) > F.coalesce("_a", F.lit(1))
+    hub, other = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    chunk = F.pmod(F.xxhash64(other), F.greatest(F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(1)))).cast("int")
+    dealt = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(hub.alias("hub"), other.alias("other"), chunk.alias("chunk"))
+    hubs = some.join(hot, F.col("_doc") == F.col("_id"), "left").select(F.col("_doc").alias("hub"), F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)).alias("chunk"), F.col("text").alias("hub_text"))
+    joined = dealt.join(some.withColumnRenamed("_doc", "other"), "other").join(hubs, ["hub", "chunk"])
+    return map_arrow(joined.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "text", "hub_text"), work, "a long, b long, linked boolean")
+
+
+def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame | None:
+    """Links (a, b) that join different roots among the members (key, node, root; materialized) of large buckets; None without members.
+
+    Buckets that share nodes are one cluster. The nodes of its largest root need no comparison among themselves, so only
+    pairs of blocks of which one holds nodes of other roots are tasks: texts move in proportion to the nodes times the
+    blocks of the minority.
     """
-    nothing = docs.sparkSession.createDataFrame([], "a long, b long")
-    if not members.limit(1).count():
-        return nothing
+    if members.isEmpty():
+        return None
     star = members.groupBy("key").agg(F.min("node").alias("b"))
-    clusters = components(members.join(star, "key").select(F.col("node").alias("a"), "b"))
-    nodes = relabelled(members.select("node", "root").distinct(), clusters, "node", "cluster")
-    nodes = checkpointed(nodes)
-    placed = numbered(nodes, ["cluster"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
-    count = placed.groupBy("cluster").agg(F.max("block").alias("last"))
-    some = texts_of(docs, nodes.select(F.col("node").alias("_id"))).withColumnRenamed("_doc", "node")
-    full = checkpointed(placed.join(count, "cluster").join(some, "node").dropDuplicates(["node", "text"]))
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    clusters = components(members.join(star, "key").select(F.col("node").alias("a"), "b"), keep)
+    nodes = keep(relabelled(members.select("node", "root").distinct(), clusters, "node", "cluster"))
+    largest = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.min(F.struct(-F.col("n"), "root"))["root"].alias("top"))
+    sided = keep(nodes.join(largest, "cluster").withColumn("major", F.col("root") == F.col("top")).drop("top"))
+    placed = keep(numbered(sided, ["cluster", "major"], ["node"], "place").withColumn("block", F.floor(F.col("place") / BLOCK).cast("int")))
+    last = lambda major: F.max(F.when(F.col("major") == major, F.col("block")))
+    counted = placed.groupBy("cluster").agg((last(False) + 1).alias("minor"), (last(True) + 1).alias("all")).where("minor > 0")
+    some = texts_of(docs, placed.select(F.col("node").alias("_id"))).withColumnRenamed("_doc", "node")
+    full = placed.join(counted, "cluster").join(some, "node").dropDuplicates(["node", "text"])
+    full = full.withColumn("block", F.when(F.col("major"), F.col("block") + F.col("minor")).otherwise(F.col("block")))
+    ends = F.when(F.col("major"), F.col("minor")).otherwise(F.col("minor") + F.col("all")) - 1
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), ends)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "text")
 
     least, percent = scheme.least_equal, scheme.percent
@@ -235,7 +255,7 @@ def block_links(members: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFram
                     out.append((min(node[k], node[m]), max(node[k], node[m])))
         return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
 
-    return checkpointed(dealt.groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
+    return keep(dealt.groupBy("cluster", "i", "j").applyInArrow(shipped(work), "a long, b long"))
 
 
 def is_star_forest(edges: DataFrame) -> bool:
@@ -246,21 +266,21 @@ def is_star_forest(edges: DataFrame) -> bool:
     return not degrees.agg(F.max(F.col("out") + F.when(F.col("out") > 0, F.col("into")).otherwise(0)) > 1).first()[0]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Keep = checkpointed) -> DataFrame:
     """(node, root): the least node reachable, for the nodes of edges (a, b); alternating large-star and small-star steps.
 
     Both steps deal the edges by one end only, each result is kept before it is used twice, and edges lead from larger
     to smaller nodes, so when each component is a star its root is the least node.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not is_star_forest(edges):
         ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
         both = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = checkpointed(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = keep(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = checkpointed(small.distinct())
+        edges = keep(small.distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -272,35 +292,36 @@ def relabelled(rows: DataFrame, roots: DataFrame, node: str, out: str) -> DataFr
 
 def grouped(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    with short_lived_shuffles(docs.sparkSession):
-        return _grouped(docs, scheme)
+    with working_tables(docs.sparkSession) as keep:
+        return checkpointed(_grouped(docs, scheme, keep)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    sets = checkpointed(sketched(docs, scheme))
+def _grouped(docs: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
+    sets = keep(sketched(docs, scheme))
     alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     salted = nodes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = alike.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = checkpointed(dealt.join(salted, ["h1", "h2", "salt"]).where("doc_id <> node").select("doc_id", "node", "h1", "h2").distinct())
+    copies = keep(dealt.join(salted, ["h1", "h2", "salt"]).where("doc_id <> node").select("doc_id", "node", "h1", "h2").distinct())
     own = ["doc_id", "h1", "h2"]
-    lone = checkpointed(alike.select(*own, "bands").join(copies.select(*own), own, "left_anti").dropDuplicates(own))
+    lone = keep(alike.select(*own, "bands").join(copies.select(*own), own, "left_anti").dropDuplicates(own))
     copied = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
     # A document with several texts joins the groups of all of them. Most corpora have none, so their empty join is not run.
-    several = checkpointed(alike.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("doc_id"))
+    several = keep(alike.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("doc_id"))
     links = None
-    if several.limit(1).count():
-        links = checkpointed(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    if not several.isEmpty():
+        links = keep(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     keyed = lone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = checkpointed(keyed.join(crowded, "key"))
-    nodes_left = buckets.select("node").distinct().count()
-    checked, roots = None, None if links is None else components(links)
+    buckets = keep(keyed.join(crowded, "key"))
+    left = keep(buckets.select(F.col("node").alias("_id")).distinct())
+    nodes_left, docs = left.count(), keep(texts_of(docs, left).withColumnRenamed("_doc", "doc_id"))
+    checked, roots = None, None if links is None else components(links, keep)
     for hub_round in range(HUB_ROUNDS + 1):
-        now = buckets.withColumn("root", F.col("node")) if roots is None else checkpointed(relabelled(buckets, roots, "node", "root"))
+        now = buckets.withColumn("root", F.col("node")) if roots is None else keep(relabelled(buckets, roots, "node", "root"))
         size = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(hub_round)), "node"))["node"].alias("hub"))
         head = size.groupBy("key").agg(F.min(F.struct(-F.col("size"), "root", "hub")).alias("top"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        active = checkpointed(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), "all"))
+        active = keep(head.select("key", F.col("top.root").alias("top"), F.col("top.hub").alias("hub"), "all"))
         rest = active.join(size, "key").agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("size") * F.col("all")))).first()[0] or 0
         if not rest:
             break
@@ -314,19 +335,20 @@ def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = checkpointed(verified(checkpointed(pairs), docs, scheme.percent))
+        found = keep(verified(keep(pairs), docs, scheme.percent, keep))
         checked = found.select("a", "b") if checked is None else checked.unionAll(found.select("a", "b"))
         fresh = found.where("linked").select("a", "b")
         links = fresh if links is None else links.unionAll(fresh)
         if last:
             hot = now.join(active.where(F.col("all") > SMALL_BUCKET).select("key"), "key")
-            links = links.unionAll(block_links(checkpointed(hot), docs, scheme))
-        roots = components(links)
+            blocks = block_links(keep(hot), docs, scheme, keep)
+            links = links if blocks is None else links.unionAll(blocks)
+        roots = components(links, keep)
         if last:
             break
     out = relabelled(sets.select("doc_id", "n_shingles"), copied.select(F.col("doc_id").alias("node"), F.col("node").alias("root")), "doc_id", "_node")
     out = out.withColumn("component_id", F.col("_node")) if roots is None else relabelled(out, roots, "_node", "component_id")
-    return checkpointed(out.select("doc_id", "n_shingles", "component_id")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
