@@ -20,8 +20,10 @@ from trailframe.plans.shipping import shipped
 BATCH_ROWS = 512
 #: Rows up to which a lookup table may be broadcast; beyond it the callers join by shuffle.
 BROADCAST_ROWS = 50_000
+#: Rows of one key that go to one task: so many, or this part of all.
+KEY_ROWS, KEY_PARTS = 1024, 20_000
 
-__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "map_arrow", "numbered", "read", "small_or_shuffled", "spread", "utf8_size", "working_tables"]
+__all__ = ["BROADCAST_ROWS", "checkpoint_folder", "checkpointed", "fresh", "joined_by_count", "map_arrow", "numbered", "read", "small_or_shuffled", "spread", "utf8_size", "working_tables"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,23 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_hash")
 
 
+def joined_by_count(rows: DataFrame, counted: DataFrame, on: list[str], *by: str) -> DataFrame:
+    """rows joined with counted (on, n: the rows of the key, and more; materialized), the rows of hot keys dealt by a hash of the columns by.
+
+    A key is hot when it has more than KEY_ROWS rows and more than one in KEY_PARTS of all; so at most KEY_PARTS keys
+    are, which bounds their broadcast, and the part of a key in one task is as small.
+    """
+    total, largest = counted.agg(F.sum("n"), F.max("n")).first()
+    most = max(KEY_ROWS, (total or 0) // KEY_PARTS)
+    if (largest or 0) <= most:
+        return rows.join(counted.drop("n"), on)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hot = counted.where(F.col("n") > most).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    keys = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(keys, [*on, "_part"]).drop("_part")
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """name, with underscores until no column has it."""
     while name in columns:

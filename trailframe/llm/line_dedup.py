@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, small_or_shuffled
+from .common import checkpointed, fresh, joined_by_count
 
 
-WINDOW, SALTS = 3, 16
-#: Documents with removals up to which these are broadcast (some 100 bytes each), so that texts need no shuffle.
-MOST_BROADCAST = 200_000
+WINDOW = 3
+#: Bytes of all removals (their ids and positions) up to which these are broadcast, so that texts need no shuffle.
+MOST_BROADCAST = 48 << 20
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -38,9 +38,8 @@ def windows(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(_id, _gone): the sorted positions of the lines to remove from each document that has any."""
     found = checkpointed(windows(docs))
-    first = found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    later = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["a", "b", "salt"]).where(F.struct("doc_id", "at") != F.col("first"))
+    first = checkpointed(found.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    later = joined_by_count(found, first, ["a", "b"], "doc_id", "at").where(F.struct("doc_id", "at") != F.col("first"))
     covered = later.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     spread = F.flatten(F.transform("ats", lambda p: F.sequence(p, p + WINDOW - 1)))
     return covered.select(F.col("doc_id").alias("_id"), F.array_sort(F.array_distinct(spread)).alias("_gone"))
@@ -54,7 +53,9 @@ def kept_text(text: Column, gone: Column) -> Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the remaining text, and the numbers of lines and of removed lines in _n_lines and _n_removed (with underscores while docs has such a column)."""
-    gone = small_or_shuffled(checkpointed(removals(docs)), MOST_BROADCAST)
+    gone = checkpointed(removals(docs))
+    weight = gone.agg(F.sum(F.size("_gone") * 4 + 64)).first()[0] or 0
+    gone = F.broadcast(gone) if weight <= MOST_BROADCAST else gone.hint("shuffle_hash")
     joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
     size = F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n")))
     text = F.when(gone["_gone"].isNull() | docs["text"].isNull(), docs["text"]).otherwise(kept_text(docs["text"], gone["_gone"]))

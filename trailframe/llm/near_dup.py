@@ -28,13 +28,11 @@ from pyspark.sql import functions as F
 
 from trailframe.plans.shipping import shipped
 
-from .common import checkpointed, map_arrow, numbered, small_or_shuffled, spread, working_tables
+from .common import checkpointed, joined_by_count, map_arrow, numbered, small_or_shuffled, spread, working_tables
 
 WORDS = 5
 #: Ids of candidates up to which they are broadcast (8 bytes each) to filter the texts; more are joined by shuffle.
 CANDIDATES_BROADCAST = 500_000
-#: Parts into which the copies of one set are dealt.
-SALTS = 16
 #: Hub rounds stop when this many pairs per node are left in all buckets, or after HUB_ROUNDS.
 PAIRS_PER_NODE, HUB_ROUNDS = 1, 2
 #: Buckets above this size are finished in blocks of so many nodes, without making pairs.
@@ -299,10 +297,9 @@ def grouped(docs: DataFrame, scheme: Scheme = STRICT) -> DataFrame:
 def _grouped(docs: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
     sets = keep(sketched(docs, scheme))
     alike = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    salted = nodes.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = alike.select("doc_id", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = keep(dealt.join(salted, ["h1", "h2", "salt"]).where("doc_id <> node").select("doc_id", "node", "h1", "h2").distinct())
+    nodes = keep(alike.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    same = joined_by_count(alike.select("doc_id", "h1", "h2"), nodes, ["h1", "h2"], "doc_id")
+    copies = keep(same.where("doc_id <> node").select("doc_id", "node", "h1", "h2").distinct())
     own = ["doc_id", "h1", "h2"]
     lone = keep(alike.select(*own, "bands").join(copies.select(*own), own, "left_anti").dropDuplicates(own))
     copied = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
@@ -312,8 +309,8 @@ def _grouped(docs: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
     if not several.isEmpty():
         links = keep(copies.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     keyed = lone.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = keep(keyed.join(crowded, "key"))
+    crowded = keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = keep(joined_by_count(keyed, crowded, ["key"], "node"))
     left = keep(buckets.select(F.col("node").alias("_id")).distinct())
     nodes_left, docs = left.count(), keep(texts_of(docs, left).withColumnRenamed("_doc", "doc_id"))
     checked, roots = None, None if links is None else components(links, keep)
