@@ -480,6 +480,21 @@ def test_pipeline(spark, sf_dir, docs):
     assert p.run(spark, sf_dir).count() == len(rows)
 
 
+def test_pipeline_odd_and_empty(spark, sf_dir, odd, none, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names and empty tables pass all stages, each written and read again."""
+    import corpus_pipeline as p
+
+    clash = [*"abnhijxy", "at", "_n_lines", "_n_removed", "_own", "_listed", "_id", "_gone", "_doc", "node", "root", "key", "block", "value", "kind", "piece", "length", "score", "predicted", "label"]
+    for k, frame in enumerate((odd, none)):
+        docs = frame.withColumns({c: F.lit("extra") for c in clash})
+        columns = docs.columns
+        for i, (name, stage) in enumerate(p.STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}-{i}")
+            before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}-{i}")
+            assert name == "packing" or docs.columns == columns
+        assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+
+
 def brute_lines(texts):
     seen, gone = set(), {}
     for key in sorted(texts):
